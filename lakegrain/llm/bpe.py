@@ -26,9 +26,10 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
+import xxhash
 
 #: Entries of the piece and of the unit cache of one worker, and the bytes of the longest entry.
-MAX_ENTRIES, MAX_CACHED = 700_000, 128
+MAX_ENTRIES, MAX_CACHED = 500_000, 128
 #: Bytes of text that are encoded at a time; a longer text makes a chunk alone.
 CHUNK = 4 << 20
 
@@ -154,40 +155,40 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: n
     return flat[at]
 
 
-_RNG = np.random.default_rng(20)
-_TABLES = [_RNG.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1) for _ in range(2)]
-_BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First n powers of a base and of its inverse, modulo 2**64."""
-    have = _POWERS.get(k)
-    if have is None or len(have[0]) < n:
-        m = max(n, 1 << 16)
-        base, inverse = int(_BASES[k]), pow(int(_BASES[k]), -1, 1 << 64)
-        up = np.full(m, base, np.uint64)
-        down = np.full(m, inverse, np.uint64)
-        up[0] = down[0] = 1
-        have = _POWERS[k] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have[0][:n], have[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int = 2) -> list[np.ndarray]:
-    """n independent polynomial hashes, modulo 2**64 over random byte values, of each span."""
-    out = []
-    for k in range(n):
-        up, down = powers(k, len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_TABLES[k][buf] * up[:-1], out=sums[1:])
-        out.append(mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)))
-    return out
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_MULTIPLY = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
+#: Words of 8 bytes that are mixed for all spans together; longer spans are hashed one by one.
+_TOGETHER = 8
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int = 2, together: int = _TOGETHER) -> list[np.ndarray]:
+    """n independent hashes of 64 bits of each span, 8 bytes at a time. A span's hash depends on its bytes alone."""
+    data = buf.tobytes() + bytes(8)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    left = stops - starts
+    out = [mix(left.astype(np.uint64) * _MULTIPLY[k]) for k in range(n)]
+    long = np.flatnonzero(left > 8 * together)
+    at, which = starts, np.arange(len(starts))
+    for _ in range(together):
+        w = words[at] & _MASKS[np.minimum(left, 8)]
+        for k in range(n):
+            h = (out[k][which] ^ w) * _MULTIPLY[k]
+            out[k][which] = h ^ (h >> np.uint64(32))
+        more = left > 8
+        if not more.any():
+            break
+        at, left, which = at[more] + 8, left[more] - 8, which[more]
+    for x in long.tolist():
+        h = xxhash.xxh3_128_intdigest(data[starts[x] : stops[x]])
+        for k in range(n):
+            out[k][x] = h >> 64 * k & 0xFFFFFFFFFFFFFFFF
+    return [mix(h) for h in out]
 
 
 class Pieces:

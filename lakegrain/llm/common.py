@@ -73,6 +73,18 @@ def tree_merge(rows: DataFrame, keys: list[str], best: Column, name: str, rounds
     return rows.join(down, [*keys, "_salt"])
 
 
+#: Ids that are broadcast (8 bytes each); more are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``ids``; rows with a null id stay."""
+    ids = staged(ids.select("doc_id").distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 

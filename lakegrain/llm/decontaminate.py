@@ -124,10 +124,24 @@ def _blocks(benchmark: DataFrame, window: int, block: int):
         yield WindowSet(rows, window)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents without a hit: all columns, rows whose id had hits removed. Rows with a null id are kept."""
-    bad = scan_windows(docs, benchmark, window).filter(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of the benchmark, all columns; nothing is shuffled.
+
+    Each block of the benchmark is one more filter.  Null and wordless texts stay.
+    """
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+    out = docs
+    for found in _blocks(benchmark, window, block):
+        shared = sc.broadcast(found)
+
+        def clean(batches, shared=shared):
+            for batch in batches:
+                pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["doc_id", "text"])
+                hits = [len(x) > 0 for part in _scan(pair, shared.value) for x in part.column(3).to_pylist()]
+                yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
 
 
 def strip_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

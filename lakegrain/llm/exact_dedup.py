@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salt, staged, tree_merge
+from .common import salt, staged, tree_merge, without_ids
 
 #: Characters that do not count when texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -47,6 +47,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of equal texts; all columns, null ids stay.
+
+    A record written twice under one id cannot be told apart by id; such ids are rare, and
+    only their rows are compared as a whole.
+    """
+    report = staged(exact_dedup(docs), "report").filter(~F.col("kept"))
+    twice = report.filter(F.col("doc_id") == F.col("keep_id")).select("doc_id").distinct()
+    out = without_ids(docs, report.filter(F.col("doc_id") != F.col("keep_id")))
+    if twice.isEmpty():
+        return out
+    again = out.join(twice, "doc_id", "left_semi").select(docs.columns)
+    return without_ids(out, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))
+
+
 ORACLE = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS len,

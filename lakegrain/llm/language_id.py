@@ -166,6 +166,20 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
+    """The rows whose text has a known language with a score of ``least`` or more; all columns, no shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            ok: list[bool] = []
+            for _, buf, bounds in utf8_chunks(batch.column(at)):
+                ok += [x != UNKNOWN and s >= least for x, s in zip(*shared.value.judge(buf, bounds))]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows kept out of learning; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mix
-from .common import byte_class, chunk_words, discard, map_arrow, release, salt, staged, tree_merge, windows
+from .common import byte_class, chunk_words, discard, map_arrow, release, salt, staged, tree_merge, windows, without_ids
 
 SHINGLE, PERCENT = 5, 85
 #: Sketch values; with ROWS of them in a band a pair of similarity s shares a band with 1 - (1 - s**ROWS)**(BINS / ROWS):
@@ -142,6 +142,11 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return full.unionByName(none).withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component; all columns."""
+    return without_ids(docs, near_dedup(docs).filter(~F.col("kept")))
+
+
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are alike enough."""
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))

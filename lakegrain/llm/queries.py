@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_format, decontaminate, exact_dedup, language_id, near_dedup, token_counts, token_store, url_filter
+from . import bpe_codec, chat_format, decontaminate, exact_dedup, language_id, near_dedup, substring_dedup, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": near_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_chat_format": chat_format.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op2_substring_dedup": substring_dedup.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_chat_format": chat_format.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
