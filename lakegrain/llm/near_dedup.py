@@ -6,10 +6,11 @@
 2. Texts with one set of shingles form a class; one row stands for it from here on.
 3. Bands of the sketch deal classes to buckets.  In a bucket edges go from a centre
    to members, never from all to all.  Edges are confirmed on the full sets.
-4. A bucket whose members are in one component is done.  In the others the
-   next centre is a member of the smallest component there; its edges go to members of other
-   components, and it leaves the bucket.  So no link that a bucket shows is lost, and a bucket of n copies
-   costs n edges.  Rounds go on until no bucket is left.
+4. A bucket whose members are in one component is done.  For the others, shingles that no other undecided
+   text has are counted: most false candidates thereby cannot reach the similarity with anyone and go.
+   Then members outside the bucket's largest component become centres in turn; their edges go to members of
+   other components that sizes still allow, and they leave the bucket.  So no link that a
+   bucket shows is lost, and a bucket of n copies costs n edges.  Rounds go on until no bucket is left.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import mix
@@ -31,6 +32,8 @@ BINS, ROWS = 192, 6
 WORD = byte_class(r"[^\x20\x09-\x0D]")
 #: Edges (16 bytes each) that are broadcast rather than shuffled with the sets.
 BROADCAST_EDGES = 50_000
+#: Each round takes so many times the stars of a bucket that the last one took.
+STARS = 8
 _RNG = np.random.default_rng(3)
 _EDGES = np.array([(k << 64) // BINS for k in range(BINS)], dtype=object).astype(np.uint64)
 _ORDER = np.argsort(_RNG.random((BINS, BINS)), axis=1)
@@ -123,15 +126,16 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = staged(map_arrow(wide, _sets, "node long, set binary"), "sets")
     release(docs.sparkSession)
     labels = connected(confirm(edges, sets, percent))
-    live = active.select("key", "node", "n")
-    tested = edges
+    live = _undecided(active.select("key", "node", "n"), labels)
+    live = staged(live.join(_shared_sizes(live, sets, percent), "node").select("key", "node", "n", "c"), "live")
+    tested, stars = edges, 1
     while True:
-        live, more = _next_edges(live, labels, tested, fits)
+        live, more = _next_edges(live, labels, tested, stars, percent)
         if more is None:
             break
-        linked = confirm(more, sets, percent)
-        labels = _merged(labels, linked)
+        labels = _merged(labels, confirm(more, sets, percent))
         tested = staged(tested.unionByName(more), "tested")
+        stars *= STARS
     named = classed.filter("node = rep").select("doc_id", "node").join(labels, "node")
     names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = labels.join(names, "label").select(F.col("node").alias("rep"), "component_id")
@@ -197,23 +201,56 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(old.unionByName(alone), "labels")
 
 
-def _next_edges(live: DataFrame, labels: DataFrame, tested: DataFrame, fits: str) -> tuple[DataFrame, DataFrame | None]:
-    """Buckets that are not done, and the next star of each: (rows left, edges) or (.., None) when all are done."""
+def _undecided(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets whose members are in more than one component, with ``label``."""
+    now = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = now.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y").select("key")
+    return now.join(open_, "key")
+
+
+def _shared_sizes(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, c): shingles that some other undecided text has too; a text that has too few of them has no link and is left out.
+
+    The intersection with any of these texts is at most c, and the union at least the text's own size.
+    """
+    nodes = live.select("node", "n").distinct()
+
+    def each(batch: pa.RecordBatch):
+        for node, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+            h = np.frombuffer(s.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node, np.int64))], ["h", "node"])
+
+    shingles = map_arrow(sets.join(nodes.select("node"), "node", "left_semi"), each, "h long, node long")
+    alone = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    sizes = nodes.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+    return staged(sizes.filter(f"100 * c >= {percent} * n").select("node", "c"), "sizes")
+
+
+def _next_edges(live: DataFrame, labels: DataFrame, tested: DataFrame, stars: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Undecided buckets and the next ``stars`` stars of each: (rows left, edges) or (.., None) when all are decided.
+
+    Centres are members outside the largest component of the bucket, those of the smallest components first; all
+    their edges to other components follow, so they leave the bucket.
+    """
     while True:
-        now = live.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        kinds = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("first"))
-        pick = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("c", "first", "label")).alias("m")).filter("kinds > 1")
-        pick = pick.select("key", F.col("m.first").alias("centre"), F.col("m.label").alias("mine"))
-        rows = staged(now.join(pick, "key"), "rows")
+        rows = staged(_undecided(live.select("key", "node", "n", "c"), labels).select("key", "node", "n", "c", "label"), "rows")
         if rows.isEmpty():
             return rows, None
-        size = rows.filter("node = centre").select("key", F.col("n").alias("other"))
-        star = rows.filter("label <> mine").join(size, "key").filter(fits)
+        kinds = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+        main = kinds.groupBy("key").agg(F.max(F.struct("k", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
+        outer = rows.join(main, "key").filter("label <> main").join(kinds, ["key", "label"])
+        place = F.row_number().over(Window.partitionBy("key").orderBy("k", "node"))
+        centres = outer.withColumn("_at", place).filter(F.col("_at") <= stars)
+        centres = staged(centres.select("key", F.col("node").alias("centre"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("label").alias("mine")), "centres")
+        alike = F.expr(f"100 * least(c, c2) >= {percent} * (n + n2 - least(c, c2))")
+        star = rows.join(centres.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("label") != F.col("mine")) & alike)
         pairs = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        live = rows.filter("node <> centre").select("key", "node", "n")
+        live = rows.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
         edges = staged(pairs.join(tested, ["a", "b"], "left_anti"), "edges")
         if not edges.isEmpty():
             return live, edges
+        stars *= STARS
 
 
 ORACLE = r"""
