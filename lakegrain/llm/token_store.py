@@ -34,6 +34,8 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 ROLL, LEAST, MEAN, MOST = 8, 64, 512, 4096
 #: Digests that a task remembers so as not to send a chunk twice; the merge drops what gets through.
 REMEMBERED = 500_000
+ORDER = "doc_id long, row long, n_tokens long, root binary, part int"
+MANIFEST = "part int, n_docs long, n_ids long, root string"
 ROWS = "kind string, key binary, doc_id long, row long, n_ids long, payload binary, digests array<binary>"
 
 
@@ -65,7 +67,7 @@ class Store:
     at: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.at}/{name}")
+        return self.spark.read.schema({"data": ROWS, "order": ORDER, "manifest": MANIFEST}[name]).parquet(f"{self.at}/{name}")
 
 
 def write_store(docs: DataFrame, path: str | None = None, end_id: int = END_ID, at: str | None = None) -> Store:
@@ -90,47 +92,35 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
             ids = np.insert(ids, where[1:], end_id).astype("<u4")
             where = where + np.arange(len(where))
             wide = ids.max(initial=0) > 0xFFFF
-            kinds, keys, docs_, rows, sizes, loads, recipes = [], [], [], [], [], [], []
-            doc_ids, row_ids = batch.column(0).slice(row, len(bounds) - 1).to_pylist(), batch.column(1).slice(row, len(bounds) - 1).to_pylist()
+            raw = None if wide else ids.astype("<u2").tobytes()
+            keys, sizes, loads, roots, recipes = [], [], [], [], []
             for k, ends in enumerate(cuts(ids, where)):
-                mine = ids[where[k] : where[k + 1]]
-                recipe, a = [], 0
+                base, recipe, a = int(where[k]), [], 0
                 for b in ends:
-                    part = mine[a:b]
-                    load = b"\x04" + part.tobytes() if wide and part.max() > 0xFFFF else b"\x02" + part.astype("<u2").tobytes()
+                    load = pack(ids[base + a : base + b]) if wide else b"\x02" + raw[2 * (base + a) : 2 * (base + b)]
                     digest = sha256(load).digest()
                     recipe.append(digest)
                     if digest not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(digest)
-                        for x, y in zip((kinds, keys, docs_, rows, sizes, loads, recipes), ("chunk", digest, None, None, b - a, load, None)):
-                            x.append(y)
+                        keys.append(digest)
+                        sizes.append(b - a)
+                        loads.append(load)
                     a = b
-                root = sha256(b"".join(recipe)).digest()
-                for x, y in zip((kinds, keys, docs_, rows, sizes, loads, recipes), ("recipe", root, doc_ids[k], row_ids[k], len(mine), None, recipe)):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds), pa.array(keys, pa.binary()), pa.array(docs_, pa.int64()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(loads, pa.binary()), pa.array(recipes, pa.list_(pa.binary()))],
-                ["kind", "key", "doc_id", "row", "n_ids", "payload", "digests"],
-            )
-
-    def once(batches):
-        """Rows sorted by key: keeps the first chunk of each digest, and every recipe."""
-        last = None
-        for batch in batches:
-            keys, kinds = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            keep = []
-            for kind, key in zip(kinds, keys):
-                keep.append(kind == "recipe" or key != last)
-                if kind == "chunk":
-                    last = key
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
+                roots.append(sha256(b"".join(recipe)).digest())
+                recipes.append(recipe)
+            n, m = len(keys), len(roots)
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * n, pa.string()), pa.array(keys, pa.binary()), none, none, pa.array(sizes, pa.int64()), pa.array(loads, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * m), pa.array(roots, pa.binary()), batch.column(0).slice(row, m), batch.column(1).slice(row, m), pa.array(np.diff(where)), pa.nulls(m, pa.binary()), pa.array(recipes, pa.list_(pa.binary()))], names)
+
+    names = [x.split()[0] for x in ROWS.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, ROWS)
-    spread = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("row"))
-    dealt = rows.withColumn("_to", spread).repartition("_to").sortWithinPartitions("kind", "key").drop("_to")
-    dealt.mapInArrow(once, ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{at}/data")
+    # chunks meet by digest, each recipe stays alone; the first of equal chunks is written
+    unit = F.when(F.col("kind") == "chunk", F.col("key")).otherwise(F.col("row").cast("string").cast("binary"))
+    once = rows.groupBy("kind", unit.alias("_unit")).agg(*[F.first(c).alias(c) for c in ("key", "doc_id", "row", "n_ids", "payload", "digests")])
+    once.drop("_unit").write.partitionBy("kind").option("compression", "zstd").parquet(f"{at}/data")
     store = Store(spark, at)
     release(spark)
     recipes = store.table("data").filter("kind = 'recipe'")
@@ -183,6 +173,11 @@ def join_crc(first: int, second: int, n_bytes: int) -> int:
     return _times(_shift(n_bytes), first) ^ second
 
 
+def pack(ids: np.ndarray) -> bytes:
+    """The payload of a chunk: the bytes of an id, then the ids, little-endian."""
+    return b"\x04" + ids.astype("<u4").tobytes() if len(ids) and ids.max() > 0xFFFF else b"\x02" + ids.astype("<u2").tobytes()
+
+
 def unpack(payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, "<u2" if payload[0] == 2 else "<u4", offset=1).astype("<u4")
 
@@ -211,13 +206,18 @@ def read_report(store: Store) -> DataFrame:
 
     def whole(batch: pa.RecordBatch):
         sizes, crcs, roots = [], [], []
-        for chunks in batch.column(1).to_pylist():
-            n, crc = 0, 0
-            for x in chunks:
-                crc, n = join_crc(crc, x["crc"], 4 * x["n"]), n + x["n"]
+        lists = batch.column(1)
+        flat = lists.flatten()
+        n_, crc_, digest_ = (flat.field(i).to_pylist() for i in (1, 2, 3))
+        at = 0
+        for k in lists.value_lengths().to_pylist():
+            n, crc = n_[at], crc_[at]
+            for i in range(at + 1, at + k):
+                crc, n = join_crc(crc, crc_[i], 4 * n_[i]), n + n_[i]
             sizes.append(n)
             crcs.append(crc)
-            roots.append(sha256(b"".join(x["digest"] for x in chunks)).digest())
+            roots.append(sha256(b"".join(digest_[at : at + k])).digest())
+            at += k
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(roots, pa.binary())], ["row", "n", "ids_crc32", "found"])
 
     seen = map_arrow(found, whole, "row long, n long, ids_crc32 long, found binary")
