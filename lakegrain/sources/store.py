@@ -30,7 +30,11 @@ class Store:
         at = self._path("_state.json")
         if not self.fs.exists(at):
             return {}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(at.toString()).collect()))
+        inp = self.fs.open(at)
+        try:
+            return json.loads(bytes(inp.readAllBytes()).decode())
+        finally:
+            inp.close()
 
     def _save(self, state: dict) -> None:
         new = self._path(f"_state.{uuid.uuid4().hex}")
