@@ -6,7 +6,8 @@
 2. Texts with one set of shingles form a class; one row stands for it from here on.
 3. Bands of the sketch deal classes to buckets.  In a bucket edges go from a centre
    to members, never from all to all.  Edges are confirmed on the full sets.
-4. A bucket whose members are in one component is done.  For the others, shingles that no other undecided
+4. A bucket whose members are in one component is done.  A few rounds more with other centres join most of what
+   belongs together, at one edge for each class and round.  For the buckets left, shingles that no other undecided
    text has are counted: most false candidates thereby cannot reach the similarity with anyone and go.
    Then members outside the bucket's largest component become centres in turn; their edges go to members of
    other components that sizes still allow, and they leave the bucket.  So no link that a
@@ -32,6 +33,8 @@ BINS, ROWS = 192, 6
 WORD = byte_class(r"[^\x20\x09-\x0D]")
 #: Edges (16 bytes each) that are broadcast rather than shuffled with the sets.
 BROADCAST_EDGES = 50_000
+#: Rounds in which each text has one edge; they join most of what belongs together.
+FIRST_STARS = 4
 #: Each round takes so many times the stars of a bucket that the last one took.
 STARS = 8
 _RNG = np.random.default_rng(3)
@@ -126,9 +129,16 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = staged(map_arrow(wide, _sets, "node long, set binary"), "sets")
     release(docs.sparkSession)
     labels = connected(confirm(edges, sets, percent))
-    live = _undecided(active.select("key", "node", "n"), labels)
+    live, tested = active.select("key", "node", "n"), edges
+    for k in range(1, FIRST_STARS):
+        live = staged(_undecided(live, labels), "undecided")
+        more = staged(_other_star(live, k, fits).join(tested, ["a", "b"], "left_anti"), "edges")
+        labels = _merged(labels, confirm(more, sets, percent))
+        tested = staged(tested.unionByName(more), "tested")
+        live = live.select("key", "node", "n")
+    live = _undecided(live, labels)
     live = staged(live.join(_shared_sizes(live, sets, percent), "node").select("key", "node", "n", "c"), "live")
-    tested, stars = edges, 1
+    stars = 1
     while True:
         live, more = _next_edges(live, labels, tested, stars, percent)
         if more is None:
@@ -201,6 +211,16 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(old.unionByName(alone), "labels")
 
 
+def _other_star(live: DataFrame, k: int, fits: str) -> DataFrame:
+    """One edge for each text at most: to the centre, another one for each k, that most of its undecided buckets name."""
+    centre = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "label")).alias("m"))
+    centre = centre.select("key", F.col("m.node").alias("other_node"), F.col("m.n").alias("other"), F.col("m.label").alias("theirs"))
+    named = live.join(centre, "key").filter("label <> theirs").filter(fits)
+    named = named.groupBy("node", "other_node").agg(F.count(F.lit(1)).alias("k"))
+    best = named.groupBy("node").agg(F.max(F.struct("k", "other_node")).alias("m")).select("node", "m.other_node")
+    return best.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+
 def _undecided(live: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets whose members are in more than one component, with ``label``."""
     now = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
