@@ -11,7 +11,8 @@ the text down first, exactly as far as equal strings allow:
    segment (about 60 windows); it is recorded with the minimiser's hash and a hash of all its bytes.
 2. A segment whose minimiser occurs once repeats nowhere.  A segment that occurs as a whole
    elsewhere repeats in every window.  Both are decided by counts, summed before each shuffle.
-3. What is left (the ends of copied passages) is compared window by window, again by counts.
+3. What is left (the ends of copied passages) is compared in blocks of 8 windows, by the bytes that all eight share
+   and by all their bytes, and only where those disagree window by window; all by counts.
 
 Nothing is sampled or capped: hashes only decide where equal bytes can be, and a window counts
 as repeated when 128 bits (minimiser and window) agree.
@@ -30,6 +31,8 @@ from .bpe import mix, span_hashes, utf8_chunks
 from .common import discard, map_arrow, release, staged
 
 LENGTH, GRAM = 200, 64
+#: Windows that are first compared together.
+BLOCK = 8
 _RNG = np.random.default_rng(5)
 _BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64)
 _STEPS = _RNG.integers(1, 1 << 63, 10, np.uint64) | np.uint64(1)
@@ -142,37 +145,59 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def with_text(some: DataFrame) -> DataFrame:
         return some.join(known, "node").join(rows.select("doc_id", "text"), F.col("doc_id").eqNullSafe(F.col("_id")))
 
-    def windows(batch: pa.RecordBatch):
+    def cut_blocks(batch: pa.RecordBatch):
         done = set()
         for row, buf, bounds in utf8_chunks(batch.column(0)):
-            h = window_hashes(buf, length)
+            grams = mix(gram_hashes(buf, GRAM.bit_length() - 1)[-1])
+            inner, h = window_hashes(buf, length - BLOCK + 1), window_hashes(buf, length)
             nodes, prints, parts = (batch.column(i).slice(row, len(bounds) - 1).to_pylist() for i in (1, 2, 3))
-            at, node, mh, base = [], [], [], []
+            found: list[tuple[int, int, int, int, int]] = []  # start and windows in the chunk, minimiser's place and hash, text
             for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                 if nodes[k] in done or _print(memoryview(buf[a:b].tobytes())) != prints[k]:
                     continue
                 done.add(nodes[k])
                 for x in parts[k]:
-                    at.append(np.arange(a + x["start"], a + x["start"] + x["n"]))
-                    node.append(nodes[k])
-                    mh.append(x["mh"])
-                    base.append(a)
-            if at:
-                sizes = np.array([len(x) for x in at])
-                at = np.concatenate(at)
-                key = mix(h[at] ^ mix(np.repeat(np.array(mh, np.int64).view(np.uint64), sizes)))
-                for i in range(0, len(at), 200_000):
-                    j = slice(i, i + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(np.repeat(node, sizes)[j]), pa.array((at - np.repeat(base, sizes))[j])], ["key", "node", "start"])
-
-    cells = staged(map_arrow(with_text(part).select("text", "node", "print", "parts"), windows, "key long, node long, start long"), "windows")
+                    first = a + x["start"]
+                    low = first + x["n"] - 1
+                    near = grams[low : first + length - GRAM + 1] == np.uint64(x["mh"] & 0xFFFFFFFFFFFFFFFF)
+                    found.append((first, x["n"], low + int(near.argmax()), x["mh"], k))
+            if not found:
+                continue
+            first, n, place, mh, text = (np.array(x, np.int64) for x in zip(*found))
+            seg = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[seg]
+            group = (place[seg] - at) // BLOCK
+            new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (group[1:] != group[:-1])])
+            lo = np.flatnonzero(new)
+            hi = np.append(lo[1:], len(at)) - 1
+            of, g = seg[lo], group[lo]
+            seed = mix(mh.view(np.uint64))
+            keys = mix(h[at] ^ seed[seg])
+            core = mix(inner[place[of] - g * BLOCK] ^ mix(seed[of] + g.astype(np.uint64)))
+            full = mix(keys[lo] * _STEPS[8] + keys[hi] + (hi - lo).astype(np.uint64))
+            node = np.array(nodes, np.int64)[text[of]]
+            start = at[lo] - bounds[text[of]]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(lo, len(at)).astype(np.int32)), pa.array(keys.view(np.int64)))
+            table = pa.Table.from_arrays([pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(node), pa.array(start), lists], ["core", "full", "node", "start", "keys"])
+            yield from table.to_batches(max_chunksize=50_000)
+
+    cells = staged(map_arrow(with_text(part).select("text", "node", "print", "parts"), cut_blocks, "core long, full long, node long, start long, keys array<long>"), "blocks")
+    release(spark)
+    alike = cells.groupBy("core", "full").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "start")).alias("one"))
+    mixed = alike.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("core")
+    block = cells.select("core", "full", "node", "start", F.size("keys").alias("n")).join(alike.filter("c > 1").select("core", "full"), ["core", "full"])
+    block = block.select("node", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
+    # blocks that share their inner bytes only: one of each kind, window by window
+    ones = staged(alike.join(mixed, "core").select("one.node", "one.start"), "ones")
+    single = cells.select("node", "start", "keys").join(ones, ["node", "start"]).select("node", "start", F.posexplode("keys").alias("i", "key"))
+    single = staged(single.select("key", "node", (F.col("start") + F.col("i")).alias("start")), "windows")
     release(spark)
-    twice = cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    single = cells.join(twice, "key").select("node", "start", (F.col("start") + length).alias("stop"))
-    spans = whole.unionByName(single).groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    twice = single.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    last = single.join(twice, "key").select("node", "start", (F.col("start") + length).alias("stop"))
+    spans = whole.unionByName(block).unionByName(last).groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = staged(spans, "spans")
+    discard(cells, again, single)
     release(spark)
-    discard(cells, again)
 
     def drop(batch: pa.RecordBatch):
         out: list[list] = [[], [], [], [], [], []]
