@@ -144,26 +144,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return out
 
 
-def strip_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text) with the bytes of every hit run cut out; the rest stays as it is."""
-    import pandas as pd
-
-    hits = scan_windows(docs, benchmark, window).filter(F.size("spans") > 0).select("doc_id", "spans")
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(t, s):
-            if t is None or s is None:
-                return t
-            data, at, out = t.encode(), 0, []
-            for x in s:
-                out.append(data[at : x["start"]])
-                at = x["stop"]
-            return b"".join([*out, data[at:]]).decode("utf-8", "replace")
-
-        return pd.Series([one(t, s) for t, s in zip(text, spans)])
-
-    return docs.select("doc_id", "text").join(hits, "doc_id", "left").select("doc_id", cut("text", "spans").alias("text"))
+def strip_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, all columns, with the bytes of every hit run cut out of the text; nothing is shuffled.
+
+    Each block of the benchmark adds its runs to a column of the row, so all are judged on the text as it came.
+    """
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+    runs, kept = "_runs_" + "_".join(docs.columns), [f.name for f in docs.schema]
+    out = docs.withColumn(runs, F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"))
+    for found in _blocks(benchmark, window, block):
+        shared = sc.broadcast(found)
+
+        def mark(batches, shared=shared):
+            for batch in batches:
+                pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["doc_id", "text"])
+                more = [[{"start": x["start"], "stop": x["stop"]} for x in s] for part in _scan(pair, shared.value) for s in part.column(2).to_pylist()]
+                both = [x + y for x, y in zip(batch.column(len(kept)).to_pylist(), more)]
+                yield batch.set_column(len(kept), runs, pa.array(both, batch.schema.field(len(kept)).type))
+
+        out = out.mapInArrow(mark, out.schema)
+
+    def cut(batches):
+        for batch in batches:
+            texts = [t if not s else _without(t.encode(), s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist())]
+            yield batch.set_column(at, kept[at], pa.array(texts, batch.schema.field(at).type)).select(kept)
+
+    return out.mapInArrow(cut, docs.schema)
+
+
+def _without(data: bytes, runs: list[dict]) -> str:
+    """The text without its runs, which begin and end with words and so never inside a character."""
+    out, at = [], 0
+    for x in sorted(runs, key=lambda x: x["start"]):
+        out.append(data[at : max(at, x["start"])])
+        at = max(at, x["stop"])
+    return b"".join([*out, data[at:]]).decode()
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
