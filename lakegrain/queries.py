@@ -85,7 +85,7 @@ _both("t_from_unix_dow", "select from_unixtime_gmt(ts, '%w') as d, count(*) as n
 _both("t_composite", "select event_id from events where strptime(ts, '%Y%m%d') >= 20240110", "SELECT event_id FROM events WHERE CAST(strftime(ts, '%Y%m%d') AS DOUBLE) >= 20240110")
 _both("t_to_unix_const", "select event_id from events where ts >= to_unixtime_gmt('2024-01-05', '%Y-%m-%d')", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05'")
 _both("t_format_unix", "select event_id, format_unixtime_gmt(ts, '%Y-%m-%d %H:%M:%S') as s from events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s FROM events")
-_both("t_iso", "select event_id, iso_to_unixtime_gmt(20240101000000 + event_id % 60) as v from events", "SELECT event_id, 1704067200.0 + event_id % 60 AS v FROM events")
+_both("t_iso", "select event_id, iso_to_unixtime_gmt(20240101000000 + event_id % 60) as v from events", "SELECT event_id, CAST(1704067200 + event_id % 60 AS DOUBLE) AS v FROM events")
 
 _both("a_basic", "select l_returnflag, l_linestatus, sum(l_quantity) as sq, avg(l_extendedprice) as ap, min(l_tax) as mn, max(l_shipdate) as mx, count(*) as n from lineitem where l_quantity < 24",
       "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sq, avg(l_extendedprice) AS ap, min(l_tax) AS mn, max(l_shipdate) AS mx, count(*) AS n FROM lineitem WHERE l_quantity < 24 GROUP BY 1, 2")
@@ -95,7 +95,7 @@ _both("a_median_int", "select l_returnflag, median(l_partkey) as m from lineitem
 _both("a_median_dbl", "select l_returnflag, median(l_extendedprice) as m from lineitem", "SELECT l_returnflag, median(l_extendedprice) AS m FROM lineitem GROUP BY 1")
 _both("a_var_std", "select l_linenumber, round(varp(l_quantity), 4) as a, round(var(l_quantity), 4) as b, round(stdpop(l_quantity), 4) as c, round(stdev(l_quantity), 4) as d from lineitem",
       "SELECT l_linenumber, floor(0.5 + 10000 * var_pop(l_quantity)) / 10000 AS a, floor(0.5 + 10000 * var_samp(l_quantity)) / 10000 AS b, floor(0.5 + 10000 * stddev_pop(l_quantity)) / 10000 AS c, floor(0.5 + 10000 * stddev_samp(l_quantity)) / 10000 AS d FROM lineitem GROUP BY 1")
-_both("a_var_one", "select n_nationkey, stdev(n_regionkey) as s, var(n_regionkey) as v from nation", "SELECT n_nationkey, 0.0 AS s, 0.0 AS v FROM nation")
+_both("a_var_one", "select n_nationkey, stdev(n_regionkey) as s, var(n_regionkey) as v from nation", "SELECT n_nationkey, CAST(0 AS DOUBLE) AS s, CAST(0 AS DOUBLE) AS v FROM nation")
 _both("a_concat", "select n_regionkey, group_concat(n_name) as names from nation", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY 1")
 _both("a_post_arith", "select l_returnflag, countdistinct(l_suppkey) / count(*) as r, 99 - min(l_linenumber) as m, sum(l_tax) * 2 + max(l_discount) as s from lineitem",
       "SELECT l_returnflag, count(DISTINCT l_suppkey) / count(*) AS r, CAST(99 - min(l_linenumber) AS DOUBLE) AS m, sum(l_tax) * 2 + max(l_discount) AS s FROM lineitem GROUP BY 1")
@@ -262,7 +262,7 @@ FUNCTION_SQL = {
     "x_keyword_counts": "SELECT term, count(*) AS n_docs FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term, p_partkey FROM part) GROUP BY 1",
     "m_append": "SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey = 1",
     "m_delete_where": "SELECT * FROM nation WHERE NOT n_regionkey > 2",
-    "m_add_column": "SELECT *, n_nationkey * 2.0 + 1 AS v FROM nation",
+    "m_add_column": "SELECT *, CAST(n_nationkey * 2 + 1 AS DOUBLE) AS v FROM nation",
     "m_partition_like": "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey < 3 GROUP BY 1",
     "g_coords": f"SELECT cell, cell // 70 % 100 AS c0, cell // 7 % 10 AS c1, cell % 7 AS c2 FROM {_CELLS}",
     "g_lines": f"SELECT c0, c1, min(c2) AS first, max(c2) AS last FROM (SELECT cell // 70 AS c0, cell // 7 % 10 AS c1, cell % 7 AS c2, cell % 7 - row_number() OVER (PARTITION BY cell // 7 ORDER BY cell) AS g FROM {_CELLS}) GROUP BY c0, c1, g",
