@@ -266,7 +266,7 @@ def _next_edges(live: DataFrame, labels: DataFrame, tested: DataFrame, stars: in
         alike = F.expr(f"100 * least(c, c2) >= {percent} * (n + n2 - least(c, c2))")
         star = rows.join(centres.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("label") != F.col("mine")) & alike)
         pairs = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        live = rows.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
+        live = staged(rows.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"), "live")  # read twice
         edges = staged(pairs.join(tested, ["a", "b"], "left_anti"), "edges")
         if not edges.isEmpty():
             return live, edges
