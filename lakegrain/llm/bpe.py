@@ -33,6 +33,9 @@ MAX_ENTRIES, MAX_CACHED = 500_000, 128
 #: Bytes of text that are encoded at a time; a longer text makes a chunk alone.
 CHUNK = 4 << 20
 
+#: Marks that are a piece of their own between letters and the end of a unit.
+_MARKS = frozenset(".,;:!?)")
+
 #: A blank between white space, or one that follows white space and ends the text.
 _AMBIGUOUS = re.compile(r"(?:^|\s) (?:\s|$)")
 #: Bytes that can end, and that can begin, a character of white space.
@@ -56,6 +59,7 @@ def _alphabet() -> dict[int, int]:
 
 
 _ALPHABET = _alphabet()
+_BLANK = chr(_ALPHABET[32])
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,32 +74,39 @@ class PieceCache:
     def __init__(self, encode_piece, pattern: str, specials: list[str] = (), encode_special=None, max_entries: int = MAX_ENTRIES):
         self.encode_piece, self.split, self.max_entries = encode_piece, regex.compile(pattern).findall, max_entries
         self.specials, self.encode_special = list(specials), encode_special
+        self.special = regex.compile("|".join(map(regex.escape, self.specials))).search
         self.pieces: dict[str, bytes] = {}
         self.units: dict[bytes, bytes] = {}
 
     def unit(self, data: bytes) -> bytes:
-        got = self.units.get(data)
-        if got is None:
-            text, pieces, out = data.decode("utf-8", "replace"), self.pieces, []
-            if any(s in text for s in self.specials):  # the library finds these before it splits
-                return self.encode_special(text)
-            # a blank and letters are one piece, cached as the unit
-            for p in (text,) if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self.split(text):
-                ids = pieces.get(p)
-                if ids is None:
-                    ids = self.encode_piece(p)
-                    if len(p) <= MAX_CACHED and p is not text:
-                        if len(pieces) >= self.max_entries:
-                            pieces.clear()
-                        pieces[p] = ids
-                out.append(ids)
-            got = b"".join(out)
-            if len(data) <= MAX_CACHED:
-                if len(self.units) >= self.max_entries:
-                    self.units.clear()
-                self.units[data] = got
+        """Ids of a unit that the cache lacks."""
+        text = data.decode("utf-8", "replace")
+        if self.specials and self.special(text):  # the library finds these before it splits
+            return self.encode_special(text)
+        # a blank and letters are one piece; one mark after them is another
+        plain = text[0] == " " or text[0].isalpha()
+        if plain and text[1:].isalpha():
+            got = self.piece(text)
+        elif plain and text[1:-1].isalpha() and text[-1] in _MARKS:
+            got = self.piece(text[:-1]) + self.piece(text[-1])
+        else:
+            got = b"".join(map(self.piece, self.split(text)))
+        if len(data) <= MAX_CACHED:
+            if len(self.units) >= self.max_entries:
+                self.units.clear()
+            self.units[data] = got
         return got
 
+    def piece(self, p: str) -> bytes:
+        ids = self.pieces.get(p)
+        if ids is None:
+            ids = self.encode_piece(p)
+            if len(p) <= MAX_CACHED:
+                if len(self.pieces) >= self.max_entries:
+                    self.pieces.clear()
+                self.pieces[p] = ids
+        return ids
+
     def encode_chunk(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of texts end to end, text k at bounds[k]:bounds[k + 1] -> (ids, where each text's ids begin, and the end)."""
         n = len(bounds) - 1
@@ -219,7 +230,11 @@ class LibraryPieces(Pieces):
 
     def _piece(self, piece: str) -> bytes:
         """The library's model on one piece, whose bytes are written in the model's alphabet."""
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
+        if piece.isascii() and piece.isprintable():  # only the blank is written otherwise
+            known = piece.replace(" ", _BLANK)
+        else:
+            known = piece.encode().decode("latin-1").translate(_ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

@@ -108,20 +108,24 @@ def words(buf: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np.
     return low, starts, stops, np.searchsorted(starts, bounds)
 
 
-_STEP = np.uint64(0x9FB21C651E98DF25)
+_STEP = 0x9FB21C651E98DF25
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive values."""
-    n = len(hashes) - k + 1
-    if n <= 0:
+    """Hash of each k consecutive values: a polynomial of them, put together from those of 1, 2, 4, ... values."""
+    if len(hashes) < k:
         return np.zeros(0, np.uint64)
-    out = hashes[:n].copy()
-    for i in range(1, k):
-        out *= _STEP
-        out += hashes[i : i + n]
-    out ^= out >> np.uint64(29)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
+    power, width, out, size = hashes, 1, None, 0
+    while True:
+        factor = np.uint64(pow(_STEP, width, 1 << 64))
+        if k & width:
+            out = power if out is None else out[:-width] * factor + power[size:]
+            size += width
+        if 2 * width > k:
+            break
+        power = power[:-width] * factor + power[width:]
+        width *= 2
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def chunk_words(column: pa.Array, is_word: np.ndarray) -> Iterator[tuple]:
