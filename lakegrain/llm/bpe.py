@@ -29,9 +29,9 @@ import regex
 import xxhash
 
 #: Entries of the piece and of the unit cache of one worker, and the bytes of the longest entry.
-MAX_ENTRIES, MAX_CACHED = 500_000, 128
+MAX_ENTRIES, MAX_CACHED = 400_000, 128
 #: Bytes of text that are encoded at a time; a longer text makes a chunk alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 #: Marks that are a piece of their own between letters and the end of a unit.
 _MARKS = frozenset(".,;:!?)")
