@@ -133,14 +133,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     segs = scan.select("node", F.inline("segments"))
     often = segs.groupBy("mh").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("mh")
     again = staged(segs.join(often, "mh"), "again")
+    about = staged(scan.drop("segments"), "about")
+    discard(scan)
     release(spark)
     same = again.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "start", "n")).alias("one"))
     kinds = same.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("c") == 1).cast("int")).alias("single"))
     whole = again.join(same.filter("c > 1").select("mh", "sh"), ["mh", "sh"]).select("node", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
+    whole = staged(whole, "whole")
+    release(spark)
     # segments that share a minimiser only: one of each kind, cut to windows
     part = same.join(kinds.filter("kinds > 1 and single > 0").select("mh"), "mh").select("one.node", F.struct("one.start", "one.n", "mh").alias("s"))
-    part = part.groupBy("node").agg(F.collect_list("s").alias("parts"))
-    known = scan.select(F.col("doc_id").alias("_id"), "node", "print")
+    part = staged(part.groupBy("node").agg(F.collect_list("s").alias("parts")), "parts")
+    discard(again)
+    release(spark)
+    known = about.select(F.col("doc_id").alias("_id"), "node", "print")
 
     def with_text(some: DataFrame) -> DataFrame:
         return some.join(known, "node").join(rows.select("doc_id", "text"), F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -196,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     last = single.join(twice, "key").select("node", "start", (F.col("start") + length).alias("stop"))
     spans = whole.unionByName(block).unionByName(last).groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = staged(spans, "spans")
-    discard(cells, again, single)
+    discard(cells, single, whole)
     release(spark)
 
     def drop(batch: pa.RecordBatch):
@@ -222,7 +228,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     hit = map_arrow(with_text(spans).select("text", "node", "print", "spans", "_id"), drop, "doc_id long, node long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     hit = hit.dropDuplicates(["node"])  # a row written twice meets its text twice
-    rest = scan.join(spans.select("node"), "node", "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    rest = about.join(spans.select("node"), "node", "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
     return hit.drop("node").unionByName(rest)
 
 
