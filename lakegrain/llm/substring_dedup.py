@@ -131,12 +131,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     scan = staged(map_arrow(rows, cut, "doc_id long, node long, n_bytes long, sha string, print binary, segments array<struct<mh:long,sh:long,start:long,n:int>>"), "segments")
     segs = scan.select("node", F.inline("segments"))
-    often = segs.groupBy("mh").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("mh")
+    # counts are written before they are joined, so that Spark can split the join of a hot key
+    often = staged(segs.groupBy("mh").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("mh"), "often")
+    release(spark)
     again = staged(segs.join(often, "mh"), "again")
     about = staged(scan.drop("segments"), "about")
-    discard(scan)
+    discard(scan, often)
+    release(spark)
+    same = staged(again.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "start", "n")).alias("one")), "same")
     release(spark)
-    same = again.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "start", "n")).alias("one"))
     kinds = same.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("c") == 1).cast("int")).alias("single"))
     whole = again.join(same.filter("c > 1").select("mh", "sh"), ["mh", "sh"]).select("node", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
     whole = staged(whole, "whole")
@@ -144,7 +147,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # segments that share a minimiser only: one of each kind, cut to windows
     part = same.join(kinds.filter("kinds > 1 and single > 0").select("mh"), "mh").select("one.node", F.struct("one.start", "one.n", "mh").alias("s"))
     part = staged(part.groupBy("node").agg(F.collect_list("s").alias("parts")), "parts")
-    discard(again)
+    discard(again, same)
     release(spark)
     known = about.select(F.col("doc_id").alias("_id"), "node", "print")
 
