@@ -8,9 +8,10 @@
    to members, never from all to all.  Edges are confirmed on the full sets.
 4. A bucket whose members are in one component is done.  A few rounds more with other centres join most of what
    belongs together, at one edge for each class and round.  For the buckets left, shingles that no other undecided
-   text has are counted: most false candidates thereby cannot reach the similarity with anyone and go.
+   text has are counted: most false candidates thereby cannot reach the similarity with anyone and go.  Parity
+   bitmaps of the sets give each pair a least difference, and pairs beyond what the similarity allows go too.
    Then members outside the bucket's largest component become centres in turn; their edges go to members of
-   other components that sizes still allow, and they leave the bucket.  So no link that a
+   other components that sizes and bitmaps still allow, and they leave the bucket.  So no link that a
    bucket shows is lost, and a bucket of n copies costs n edges.  Rounds go on until no bucket is left.
 """
 
@@ -35,6 +36,8 @@ WORD = byte_class(r"[^\x20\x09-\x0D]")
 BROADCAST_EDGES = 50_000
 #: Rounds in which each text has one edge; they join most of what belongs together.
 FIRST_STARS = 4
+#: Words of 64 bits in the bitmap of an undecided text.
+WORDS = 16
 #: Each round takes so many times the stars of a bucket that the last one took.
 STARS = 8
 _RNG = np.random.default_rng(3)
@@ -137,7 +140,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         tested = staged(tested.unionByName(more), "tested")
         live = live.select("key", "node", "n")
     live = _undecided(live, labels)
-    live = staged(live.join(_shared_sizes(live, sets, percent), "node").select("key", "node", "n", "c"), "live")
+    live = staged(live.join(_shared_sizes(live, sets, percent), "node").select("key", "node", "n", "c", "bits"), "live")
     stars = 1
     while True:
         live, more = _next_edges(live, labels, tested, stars, percent)
@@ -244,7 +247,21 @@ def _shared_sizes(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alone = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
     alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
     sizes = nodes.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
-    return staged(sizes.filter(f"100 * c >= {percent} * n").select("node", "c"), "sizes")
+    sizes = staged(sizes.filter(f"100 * c >= {percent} * n").select("node", "c"), "sizes")
+    bits = map_arrow(sets.join(sizes.select("node"), "node", "left_semi"), _bitmaps, "node long, bits array<long>")
+    return staged(sizes.join(bits, "node"), "bitmaps")
+
+
+def _bitmaps(batch: pa.RecordBatch):
+    """Each shingle flips one of 64 * WORDS bits, so two bitmaps differ in no more bits than their sets do in shingles."""
+    flat = []
+    for s in batch.column(1):
+        place = np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(64 * WORDS)
+        odd = np.bincount(place.astype(np.int64), minlength=64 * WORDS) & 1
+        flat.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+    flat = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * WORDS), flat)
+    yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "bits"])
 
 
 def _next_edges(live: DataFrame, labels: DataFrame, tested: DataFrame, stars: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
@@ -253,8 +270,9 @@ def _next_edges(live: DataFrame, labels: DataFrame, tested: DataFrame, stars: in
     Centres are members outside the largest component of the bucket, those of the smallest components first; all
     their edges to other components follow, so they leave the bucket.
     """
+    differ = " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(WORDS))
     while True:
-        rows = staged(_undecided(live.select("key", "node", "n", "c"), labels).select("key", "node", "n", "c", "label"), "rows")
+        rows = staged(_undecided(live.select("key", "node", "n", "c", "bits"), labels).select("key", "node", "n", "c", "bits", "label"), "rows")
         if rows.isEmpty():
             return rows, None
         kinds = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
@@ -262,8 +280,8 @@ def _next_edges(live: DataFrame, labels: DataFrame, tested: DataFrame, stars: in
         outer = rows.join(main, "key").filter("label <> main").join(kinds, ["key", "label"])
         place = F.row_number().over(Window.partitionBy("key").orderBy("k", "node"))
         centres = outer.withColumn("_at", place).filter(F.col("_at") <= stars)
-        centres = staged(centres.select("key", F.col("node").alias("centre"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("label").alias("mine")), "centres")
-        alike = F.expr(f"100 * least(c, c2) >= {percent} * (n + n2 - least(c, c2))")
+        centres = staged(centres.select("key", F.col("node").alias("centre"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("bits").alias("bits2"), F.col("label").alias("mine")), "centres")
+        alike = F.expr(f"100 * least(c, c2) >= {percent} * (n + n2 - least(c, c2)) and {100 + percent} * ({differ}) <= {100 - percent} * (n + n2)")
         star = rows.join(centres.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("label") != F.col("mine")) & alike)
         pairs = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         live = staged(rows.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"), "live")  # read twice
