@@ -289,7 +289,7 @@ class PrefixBpe:
         key = left << 32 | right
         ok = self._pair.get(key)
         if ok is None:
-            if len(self._pair) > 1_000_000:
+            if len(self._pair) > MAX_ENTRIES:
                 self._pair.clear()
             ok = self._pair[key] = self.own(right) and self.merges(self.tokens[left] + self.tokens[right]) == [left, right]
         return ok
@@ -338,7 +338,7 @@ class PrefixBpe:
         last = [-1, *(known[piece[:i]] for i in range(1, n + 1))] if n else [-1]
         self.extend(piece, last, n)
         if len(piece) <= 64:  # all prefixes of a known prefix are known
-            if len(known) > 1_000_000:
+            if len(known) > MAX_ENTRIES:
                 known.clear()
                 n = 0
             for i in range(n + 1, len(piece) + 1):

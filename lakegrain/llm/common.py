@@ -137,6 +137,7 @@ def chunk_words(column: pa.Array, is_word: np.ndarray) -> Iterator[tuple]:
 
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches):
+        forget_engines()
         for batch in batches:
             yield from kernel(batch)
 
@@ -144,10 +145,20 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Reco
 
 
 _ENGINES: dict[tuple, object] = {}
+#: Kinds of engines that the task has asked for.
+_ASKED: set[type] = set()
+
+
+def forget_engines() -> None:
+    """At the start of a task: drops the engines that the worker's last task did not ask for, so stages do not add up in memory."""
+    for key in [k for k in _ENGINES if k[0] not in _ASKED]:
+        del _ENGINES[key]
+    _ASKED.clear()
 
 
 def engine(kind: type, *args):
-    """One engine of its kind and arguments for each Python worker; its caches live as long as the worker."""
+    """One engine of its kind and arguments for each Python worker; its caches live until a stage asks for other things."""
+    _ASKED.add(kind)
     if (kind, args) not in _ENGINES:
         _ENGINES[kind, args] = kind(*args)
     return _ENGINES[kind, args]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mix, utf8_chunks
-from .common import map_arrow
+from .common import forget_engines, map_arrow
 
 #: Bytes of an n-gram; documents of each language that the filters are fitted on (about); share of them that must
 #: have an n-gram; share of the highest rate of any language that its rate must reach; slots and probes of the filters.
@@ -129,6 +129,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, most: int = MAX_LANGS) -> Fil
     sample = rows.filter(chosen)
 
     def count(batches):
+        forget_engines()
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for row, buf, bounds in utf8_chunks(batch.column(0)):
@@ -171,6 +172,7 @@ def keep_known(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index("text")
 
     def keep(batches):
+        forget_engines()
         for batch in batches:
             ok: list[bool] = []
             for _, buf, bounds in utf8_chunks(batch.column(at)):
