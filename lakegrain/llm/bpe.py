@@ -30,6 +30,8 @@ import xxhash
 
 #: Entries of the piece and of the unit cache of one worker, and the bytes of the longest entry.
 MAX_ENTRIES, MAX_CACHED = 400_000, 128
+#: Entries of each table of a prefix engine, which has four.
+PREFIX_ENTRIES = 150_000
 #: Bytes of text that are encoded at a time; a longer text makes a chunk alone.
 CHUNK = 2 << 20
 
@@ -289,7 +291,7 @@ class PrefixBpe:
         key = left << 32 | right
         ok = self._pair.get(key)
         if ok is None:
-            if len(self._pair) > MAX_ENTRIES:
+            if len(self._pair) > PREFIX_ENTRIES:
                 self._pair.clear()
             ok = self._pair[key] = self.own(right) and self.merges(self.tokens[left] + self.tokens[right]) == [left, right]
         return ok
@@ -338,7 +340,7 @@ class PrefixBpe:
         last = [-1, *(known[piece[:i]] for i in range(1, n + 1))] if n else [-1]
         self.extend(piece, last, n)
         if len(piece) <= 64:  # all prefixes of a known prefix are known
-            if len(known) > MAX_ENTRIES:
+            if len(known) > PREFIX_ENTRIES:
                 known.clear()
                 n = 0
             for i in range(n + 1, len(piece) + 1):
@@ -358,7 +360,7 @@ class PrefixBpe:
 class PrefixPieces(Pieces):
     """Encodes texts as the rank library does without special tokens, by :class:`PrefixBpe`; decodes ids."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, max_entries: int = MAX_ENTRIES):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, max_entries: int = PREFIX_ENTRIES):
         self.bpe = PrefixBpe(load_ranks(path))
         self.cache = PieceCache(self._piece, pattern, max_entries=max_entries)
         self.lens = np.array([len(t) for t in self.bpe.tokens], np.int64)
