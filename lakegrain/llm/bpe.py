@@ -28,10 +28,10 @@ import public_tokenizers
 import regex
 import xxhash
 
-#: Entries of the piece and of the unit cache of one worker, and the bytes of the longest entry.
-MAX_ENTRIES, MAX_CACHED = 400_000, 128
-#: Entries of each table of a prefix engine, which has four.
-PREFIX_ENTRIES = 150_000
+#: Entries of the unit and of the piece cache of one worker, and the bytes of the longest entry.
+MAX_ENTRIES, MAX_CACHED = (300_000, 600_000), 128
+#: The same of a prefix engine, whose pieces cost more, and the entries of its tables of pairs and of prefixes.
+PREFIX_ENTRIES, PAIRS, PREFIXES = (150_000, 400_000), 300_000, 100_000
 #: Bytes of text that are encoded at a time; a longer text makes a chunk alone.
 CHUNK = 2 << 20
 
@@ -73,7 +73,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PieceCache:
     """Encodes chunks of texts unit by unit; equal units of a chunk are looked up once."""
 
-    def __init__(self, encode_piece, pattern: str, specials: list[str] = (), encode_special=None, max_entries: int = MAX_ENTRIES):
+    def __init__(self, encode_piece, pattern: str, specials: list[str] = (), encode_special=None, max_entries: tuple[int, int] = MAX_ENTRIES):
         self.encode_piece, self.split, self.max_entries = encode_piece, regex.compile(pattern).findall, max_entries
         self.specials, self.encode_special = list(specials), encode_special
         self.special = regex.compile("|".join(map(regex.escape, self.specials))).search
@@ -94,7 +94,7 @@ class PieceCache:
         else:
             got = b"".join(map(self.piece, self.split(text)))
         if len(data) <= MAX_CACHED:
-            if len(self.units) >= self.max_entries:
+            if len(self.units) >= self.max_entries[0]:
                 self.units.clear()
             self.units[data] = got
         return got
@@ -104,7 +104,7 @@ class PieceCache:
         if ids is None:
             ids = self.encode_piece(p)
             if len(p) <= MAX_CACHED:
-                if len(self.pieces) >= self.max_entries:
+                if len(self.pieces) >= self.max_entries[1]:
                     self.pieces.clear()
                 self.pieces[p] = ids
         return ids
@@ -221,7 +221,7 @@ class Pieces:
 class LibraryPieces(Pieces):
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` of the tokenizers library does."""
 
-    def __init__(self, path: str, specials_as_text: bool = False, max_entries: int = MAX_ENTRIES):
+    def __init__(self, path: str, specials_as_text: bool = False, max_entries: tuple[int, int] = MAX_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -291,7 +291,7 @@ class PrefixBpe:
         key = left << 32 | right
         ok = self._pair.get(key)
         if ok is None:
-            if len(self._pair) > PREFIX_ENTRIES:
+            if len(self._pair) > PAIRS:
                 self._pair.clear()
             ok = self._pair[key] = self.own(right) and self.merges(self.tokens[left] + self.tokens[right]) == [left, right]
         return ok
@@ -340,7 +340,7 @@ class PrefixBpe:
         last = [-1, *(known[piece[:i]] for i in range(1, n + 1))] if n else [-1]
         self.extend(piece, last, n)
         if len(piece) <= 64:  # all prefixes of a known prefix are known
-            if len(known) > PREFIX_ENTRIES:
+            if len(known) > PREFIXES:
                 known.clear()
                 n = 0
             for i in range(n + 1, len(piece) + 1):
@@ -360,7 +360,7 @@ class PrefixBpe:
 class PrefixPieces(Pieces):
     """Encodes texts as the rank library does without special tokens, by :class:`PrefixBpe`; decodes ids."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, max_entries: int = PREFIX_ENTRIES):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, max_entries: tuple[int, int] = PREFIX_ENTRIES):
         self.bpe = PrefixBpe(load_ranks(path))
         self.cache = PieceCache(self._piece, pattern, max_entries=max_entries)
         self.lens = np.array([len(t) for t in self.bpe.tokens], np.int64)
