@@ -13,6 +13,8 @@ from lakegrain.llm.common import staged, table
 
 #: Share of a text's n-grams, corrected for false positives, that its language must know. Clean text has 0.9 and more.
 LEAST_SCORE = 0.3
+#: Percent of their five-word shingles that near copies share; op3 has a threshold of its own.
+NEAR_PERCENT = 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, NEAR_PERCENT)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

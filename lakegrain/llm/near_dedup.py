@@ -29,7 +29,7 @@ from .common import byte_class, chunk_words, discard, map_arrow, release, salt,
 
 SHINGLE, PERCENT = 5, 85
 #: Sketch values; with ROWS of them in a band a pair of similarity s shares a band with 1 - (1 - s**ROWS)**(BINS / ROWS):
-#: all but 3e-7 of pairs at 0.85.
+#: all but 3e-7 of pairs at 0.85 and all but 6e-5 of pairs at 0.8.
 BINS, ROWS = 192, 6
 WORD = byte_class(r"[^\x20\x09-\x0D]")
 #: Edges (16 bytes each) that are broadcast rather than shuffled with the sets.
@@ -159,9 +159,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return full.unionByName(none).withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component; all columns."""
-    return without_ids(docs, near_dedup(docs).filter(~F.col("kept")))
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component of texts that are ``percent`` alike; all columns."""
+    return without_ids(docs, near_dedup(docs, percent).filter(~F.col("kept")))
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
