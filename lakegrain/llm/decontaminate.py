@@ -2,8 +2,8 @@
 
 Windows of the benchmark are few and their number is counted before they are
 broadcast.  Beyond ``BLOCK`` windows the benchmark is taken in blocks of items,
-each block is scanned for against all documents, and the hits are merged, so no
-broadcast grows with the benchmark.
+each block is scanned for against all documents, and adds its hits to those of the
+row, so no broadcast grows with the benchmark.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, chunk_words, map_arrow, windows
+from .common import byte_class, chunk_words, discard, map_arrow, staged, windows
 
 #: Words of a window, and windows in one broadcast (some 200 bytes each).
 WINDOW, BLOCK = 10, 1_000_000
@@ -81,33 +81,52 @@ def _scan(batch: pa.RecordBatch, found: WindowSet):
 
 
 def scan_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_words, spans (maximal hit runs: words [first, last), bytes [start, stop)), items.
+    """One row per row of ``docs``: doc_id, n_words, spans (maximal hit runs: words [first, last), bytes [start, stop)), items.
 
     Null or wordless texts have no words and no hits; null item texts have no
-    windows.  ``block`` bounds what is broadcast at a time; a benchmark of more
-    windows is scanned for block by block and the hits are merged per document.
+    windows.  ``block`` bounds what is broadcast at a time; in a benchmark of more
+    windows each block adds its hits to those of the row.  Rows are written between blocks, so a task
+    holds one block at a time.
     Only the id and text columns are read; an empty benchmark gives no hits.
     """
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sets = list(_blocks(benchmark, window, block))
     sc = docs.sparkSession.sparkContext
-    parts = []
-    for found in sets or [WindowSet([], window)]:
-        shared = sc.broadcast(found)
-        parts.append(map_arrow(cols, lambda b, shared=shared: _scan(b, shared.value), SCHEMA))
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    merged = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # sorted runs of one document, joined where they touch
-    joined = F.expr("""aggregate(_s, cast(array() as array<struct<first:int,last:int,start:bigint,stop:bigint>>), (acc, x) ->
-        case when size(acc) > 0 and element_at(acc, -1).last >= x.first
-             then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, x.last),
-                  'start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, x.stop))))
-             else concat(acc, array(x)) end)""")
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items")
+    out, last = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), None
+    for found in _blocks(benchmark, window, block):
+        if last is not None:
+            done, out = out, staged(_add_hits(out, last), "scanned")
+            discard(*[done] * ("spans" in done.columns))
+        last = sc.broadcast(found)
+    return _add_hits(out, last or sc.broadcast(WindowSet([], window)), text=False)
+
+
+def _add_hits(rows: DataFrame, shared, text: bool = True) -> DataFrame:
+    """doc_id, n_words, spans, items and ``text``, with the hits of a block added to those that ``rows`` have."""
+    more = "spans" in rows.columns
+
+    def scan(batch: pa.RecordBatch):
+        at = 0
+        for part in _scan(batch, shared.value):
+            old = batch.slice(at, part.num_rows)
+            at += part.num_rows
+            if more:
+                spans = [_joined(x, y) for x, y in zip(old.column("spans").to_pylist(), part.column(2).to_pylist())]
+                items = [sorted({*x, *y}) for x, y in zip(old.column("items").to_pylist(), part.column(3).to_pylist())]
+                part = part.set_column(2, "spans", pa.array(spans, part.schema.field(2).type)).set_column(3, "items", pa.array(items, part.schema.field(3).type))
+            yield part.append_column("text", old.column("text")) if text else part
+
+    cols = ["doc_id", "text", *["spans", "items"] * more]
+    return map_arrow(rows.select(*cols), scan, SCHEMA + ", text string" * text)
+
+
+def _joined(x: list[dict], y: list[dict]) -> list[dict]:
+    """Two lists of runs as maximal runs: those that overlap or touch are one."""
+    out: list[dict] = []
+    for run in sorted(x + y, key=lambda r: (r["first"], r["last"])):
+        if out and out[-1]["last"] >= run["first"]:
+            out[-1] |= {k: max(out[-1][k], run[k]) for k in ("last", "stop")}
+        else:
+            out.append(dict(run))
+    return out
 
 
 def _blocks(benchmark: DataFrame, window: int, block: int):

@@ -191,6 +191,19 @@ def test_decontaminate(spark, docs, rows, block):
     assert cut == {64: "", 1: None}
 
 
+def test_blocks_change_nothing(spark, docs, rows):
+    """Null and repeated ids, and one id with two texts, stay rows of their own however many blocks there are."""
+    more = spark.createDataFrame([(50, "no hit in here"), (None, "four words are few " * 3)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(more).cache()
+    text = dict(rows)[50].split()
+    items = [(2, " ".join(text[-30:])), (3, " ".join(text[-45:-15])), (4, "four words"), (5, "are few"), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, decontaminate.scan_windows(every, bench, block=b).collect())) for b in (decontaminate.BLOCK, 1))
+    assert len(list(decontaminate._blocks(bench, decontaminate.WINDOW, 1))) == 4
+    assert len(one) == len(rows) + 2 and many == one
+    assert sum("items=['4', '5']" in r for r in one) == 4
+
+
 def test_language(spark):
     rng = random.Random(9)
     langs = {"aa": ["kala", "moro", "tiki", "suna"], "bb": ["schno", "praft", "wirk", "zung"], "cc": ["éloué", "çatre", "ñouve", "ümbe"]}
