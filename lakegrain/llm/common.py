@@ -73,16 +73,22 @@ def tree_merge(rows: DataFrame, keys: list[str], best: Column, name: str, rounds
     return rows.join(down, [*keys, "_salt"])
 
 
-#: Ids that are broadcast (8 bytes each); more are shuffled.
+#: Row numbers that are broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not among ``ids``; rows with a null id stay."""
-    ids = staged(ids.select("doc_id").distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A staged copy of ``docs`` with a number of its own for each row, and the column's name, which ``docs`` doesn't have."""
+    name = "_row_" + "_".join(docs.columns)
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def without_rows(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """The ``numbered`` rows whose number is not in the column ``name`` of ``gone``, without the number."""
+    gone = staged(gone.select(name), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, name, "left_anti").drop(name)
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salt, staged, tree_merge, without_ids
+from .common import numbered, salt, staged, tree_merge, without_rows
 
 #: Characters that do not count when texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -25,6 +25,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rounds.  At every level the row to keep travels with its digest, and a run only
     merges with one that also agrees in a second hash and in the length.
     """
+    return _judged(docs, F.monotonically_increasing_id(), id_col, text_col).drop("_row")
+
+
+def _judged(docs: DataFrame, number: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The result of :func:`exact_dedup` with ``_row``, the number of the row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.translate(text, BLANKS, "")
     rows = docs.select(
@@ -32,13 +37,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.unhex(F.sha2(bare, 256)).alias("_digest"),
         F.xxhash64(bare).alias("_check"),
         F.length(text).alias("_len"),
+        number.alias("_row"),
     )
-    rows = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", salt("doc_id", "_row"))
+    rows = rows.withColumn("_salt", salt("doc_id", "_row"))
     rows = staged(rows, "digests")
     # greatest first: length, then the smallest id, then the first row
     best = F.struct(F.col("_len"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("id"), (-F.col("_row")).alias("row"))
     out = tree_merge(rows, ["_digest", "_check"], best, "_best", rounds=2)
     return out.select(
+        "_row",
         "doc_id",
         (-F.col("_best.id")).alias("keep_id"),
         F.col("_n").alias("group_size"),
@@ -48,18 +55,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; all columns, null ids stay.
-
-    A record written twice under one id cannot be told apart by id; such ids are rare, and
-    only their rows are compared as a whole.
-    """
-    report = staged(exact_dedup(docs), "report").filter(~F.col("kept"))
-    twice = report.filter(F.col("doc_id") == F.col("keep_id")).select("doc_id").distinct()
-    out = without_ids(docs, report.filter(F.col("doc_id") != F.col("keep_id")))
-    if twice.isEmpty():
-        return out
-    again = out.join(twice, "doc_id", "left_semi").select(docs.columns)
-    return without_ids(out, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))
+    """``docs`` with one row of each group of equal texts; all columns. Rows go by their number, whatever their ids are."""
+    rows, name = numbered(docs)
+    gone = _judged(rows, F.col(name)).filter(~F.col("kept"))
+    return without_rows(rows, name, gone.select(F.col("_row").alias(name)))
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import mix
-from .common import byte_class, chunk_words, discard, map_arrow, release, salt, staged, tree_merge, windows, without_ids
+from .common import byte_class, chunk_words, discard, map_arrow, numbered, release, salt, staged, tree_merge, windows, without_rows
 
 SHINGLE, PERCENT = 5, 85
 #: Sketch values; with ROWS of them in a band a pair of similarity s shares a band with 1 - (1 - s**ROWS)**(BINS / ROWS):
@@ -109,7 +109,17 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     only has a null component_id and is kept.  Rows with one id and one text are both returned with the same result.
     Only id and text are read, whatever other columns there are.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("node"), "text")
+    out = _judged(docs, None, percent).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _judged(docs: DataFrame, number: str | None, percent: int) -> DataFrame:
+    """node, doc_id, n_shingles, component_id, and ``head``, the node of the one row that stands for the component.
+
+    ``number`` is a column that numbers the rows; without one they are numbered as they are read, and found again by id.
+    """
+    node = F.col(number) if number else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), "text")
     sig = staged(map_arrow(rows, _signatures, "doc_id long, node long, n long, print binary, bands array<long>"), "signatures")
     own = sig.filter("n > 0").select("doc_id", "node", "n", "print").withColumn("_salt", salt("node"))
     best = F.struct(F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("id"), (-F.col("node")).alias("node"))
@@ -128,7 +138,10 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = staged(first.join(centre, "low").filter(fits).select(F.col("low").alias("a"), F.col("node").alias("b")), "edges")
     members = active.select("node").distinct()
     wanted = sig.join(members, "node").select("doc_id", "node", "print")
-    wide = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("text", "node", "print")
+    if number:
+        wide = docs.select(F.col(number).alias("node"), "text").join(wanted, "node").select("text", "node", "print")
+    else:
+        wide = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("text", "node", "print")
     sets = staged(map_arrow(wide, _sets, "node long, set binary"), "sets")
     release(docs.sparkSession)
     labels = connected(confirm(edges, sets, percent))
@@ -150,18 +163,23 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         tested = staged(tested.unionByName(more), "tested")
         stars *= STARS
     named = classed.filter("node = rep").select("doc_id", "node").join(labels, "node")
-    names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    component = labels.join(names, "label").select(F.col("node").alias("rep"), "component_id")
+    names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.max(best).alias("_m"))
+    component = labels.join(names, "label").select(F.col("node").alias("rep"), "component_id", (-F.col("_m.node")).alias("head"))
     firsts = classed.filter("node = rep").select(F.col("doc_id").alias("first_id"), "rep")
-    of = firsts.join(component, "rep", "left").select("rep", F.coalesce("component_id", "first_id").alias("component_id"))
-    full = classed.join(of, "rep").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = sig.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(none).withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    of = firsts.join(component, "rep", "left").select("rep", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("head", "rep").alias("head"))
+    full = classed.join(of, "rep").select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id", "head")
+    none = sig.filter("n = 0").select("node", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("head"))
+    return full.unionByName(none)
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component of texts that are ``percent`` alike; all columns."""
-    return without_ids(docs, near_dedup(docs, percent).filter(~F.col("kept")))
+    """``docs`` with one document of each component of texts that are ``percent`` alike; all columns.
+
+    Rows go by their number, so copies under one id or without an id go too, and other texts of such an id stay.
+    """
+    rows, name = numbered(docs)
+    gone = _judged(rows, name, percent).filter("node <> head")
+    return without_rows(rows, name, gone.select(F.col("node").alias(name)))
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stages of the pipeline against brute force, on small fixtures."""
 
 import corpus_pipeline
-from lakegrain.llm import near_dedup
+from lakegrain.llm import exact_dedup, near_dedup
 
 
 def shingles(t):
@@ -24,3 +24,24 @@ def test_near_threshold(spark):
     assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs).collect()) == [1, 2, 3]
     # what banding misses at the threshold
     assert (1 - 0.8**near_dedup.ROWS) ** (near_dedup.BINS // near_dedup.ROWS) < 6.1e-5
+
+
+def test_rows_go_by_themselves(spark):
+    """Null ids hold copies too, and a repeated id holds a copy and a text of its own."""
+    base = [f"w{i}" for i in range(200)]
+    other, third = " ".join(f"x{i}" for i in range(100)), " ".join(f"y{i}" for i in range(100))
+    a, near = " ".join(base), edited(base, (50,))
+    data = [(3, a), (7, other), (7, a), (None, a), (None, third), (None, third + " "), (9, a), (9, a), (None, None), (4, " ")]
+    cols = "doc_id long, text string, node int"
+    docs = spark.createDataFrame([(i, t, 0) for i, t in data], cols).repartition(3)
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(3, a), (7, other), (None, third + " "), (4, " ")], key=str)
+    data = [(3, a), (7, other), (7, near), (None, near), (None, third), (None, edited(third.split(), (50,))), (8, a), (3, a), (None, ""), (4, " ")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in data], cols).repartition(3)
+    left = near_dedup.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    thirds = [x for x in got if x[0] is None and x[1]]
+    assert len(thirds) == 1 and thirds[0] in data
+    assert [x for x in got if x not in thirds] == sorted([(3, a), (7, other), (None, ""), (4, " ")], key=str)
