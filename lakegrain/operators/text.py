@@ -21,7 +21,7 @@ def tokens(text: Column, delimiters: str | None = None) -> Column:
 
 def term_document(df: DataFrame, text: str, doc: str, delimiters: str | None = None) -> DataFrame:
     """(term, doc), each pair once."""
-    return df.select(F.explode(tokens(F.col(text), delimiters)).alias("term"), F.col(doc).alias("doc")).distinct()
+    return df.select(F.explode(F.array_distinct(tokens(F.col(text), delimiters))).alias("term"), F.col(doc).alias("doc")).distinct()
 
 
 def keyword_counts(df: DataFrame, text: str, doc: str, delimiters: str | None = None) -> DataFrame:

@@ -176,6 +176,14 @@ def x_keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.keyword_counts(engine(spark, sf_dir).relation("part"), "p_name", "p_partkey")
 
 
+def x_term_doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.term_document(engine(spark, sf_dir).relation("documents"), "text", "doc_id")
+
+
+def x_keyword_counts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.keyword_counts(engine(spark, sf_dir).relation("documents"), "text", "doc_id")
+
+
 def m_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = Table(engine(spark, sf_dir).relation("nation"))
     return n.append(n.select("n_nationkey, n_name, n_regionkey", "n_regionkey = 1")).df
@@ -247,6 +255,9 @@ def _hist_sql(axes, value: str, where: str = "true", number: bool = True) -> str
     return f"SELECT {f'CAST({linear} AS BIGINT) AS bin, ' if number else ''}{names}, coalesce(value, 0) AS value FROM (SELECT {', '.join(f'CAST(bin{i} AS INT) AS bin{i}' for i in range(len(axes)))} FROM {every}) LEFT JOIN (SELECT {names}, {value} AS value FROM (SELECT *, {cells} FROM lineitem WHERE {inside} AND {where}) GROUP BY {names}) USING ({names})"
 
 
+#: Keywords of whole documents, as in x_contains_one.
+_TERMS = r"""(SELECT DISTINCT term, doc FROM (SELECT unnest(list_transform(regexp_extract_all(text, '''[^'']*''|"[^"]*"|[^;, \x0B\x08\f\r\t\n''"]+'), lambda x: trim(regexp_replace(x, '^[''"]|[''"]$', '', 'g')))) AS term, doc_id AS doc FROM documents) WHERE term <> '')"""
+
 FUNCTION_SQL = {
     "h_1d": _hist_sql(_AX[:1], "count(*)", "l_returnflag = 'R'", number=False),
     "h_1d_weighted": _hist_sql(_AX[:1], "sum(l_extendedprice)", number=False),
@@ -260,6 +271,8 @@ FUNCTION_SQL = {
     "h_adaptive_few": "SELECT CAST(l_linenumber AS DOUBLE) AS low0, count(*) AS value FROM lineitem GROUP BY 1",
     "x_term_doc": "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term, p_partkey AS doc FROM part",
     "x_keyword_counts": "SELECT term, count(*) AS n_docs FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term, p_partkey FROM part) GROUP BY 1",
+    "x_term_doc_text": f"SELECT term, doc FROM {_TERMS}",
+    "x_keyword_counts_text": f"SELECT term, count(*) AS n_docs FROM {_TERMS} GROUP BY 1",
     "m_append": "SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey = 1",
     "m_delete_where": "SELECT * FROM nation WHERE NOT n_regionkey > 2",
     "m_add_column": "SELECT *, CAST(n_nationkey * 2 + 1 AS DOUBLE) AS v FROM nation",
