@@ -229,17 +229,43 @@ def g_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.blocks(_cells(spark, sf_dir), "cell", _SHAPE)
+    return mesh.blocks(*_order_cells(spark, sf_dir))
 
 
 def g_block_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.block_components(mesh.blocks(_cells(spark, sf_dir).filter("cell % 3 <> 0"), "cell", _SHAPE), 3)
+    return mesh.block_components(mesh.blocks(*_order_cells(spark, sf_dir)), 2)
 
 
 def g_hyperslab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.hyperslab(_cells(spark, sf_dir), "cell", _SHAPE, [(0, 50, 2), (1, 9, 3), (0, 7, 1)])
 
 
+def _order_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, list[int]]:
+    """Hits of a condition as cells of the mesh of all orders and line numbers, which the largest keys give; each line item has its own."""
+    li = engine(spark, sf_dir).relation("lineitem")
+    top = li.agg(F.max("l_orderkey"), F.max("l_linenumber")).first()
+    shape = [int(n or 0) + 1 for n in top]
+    hits = li.filter("l_quantity > 12").select((F.col("l_orderkey") * shape[1] + F.col("l_linenumber")).alias("cell")).distinct()
+    return hits, "cell", shape
+
+
+def g_coords_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.with_coordinates(*_order_cells(spark, sf_dir))
+
+
+def g_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.lines(*_order_cells(spark, sf_dir))
+
+
+def g_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.components(*_order_cells(spark, sf_dir))
+
+
+def g_hyperslab_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, cell, shape = _order_cells(spark, sf_dir)
+    return mesh.hyperslab(hits, cell, shape, [(0, shape[0] // 2, 2), (1, shape[1], 3)])
+
+
 _CELLS = "(SELECT DISTINCT l_orderkey % 100 * 70 + l_partkey % 10 * 7 + l_linenumber - 1 AS cell FROM lineitem WHERE l_quantity > 12)"
 
 
@@ -255,6 +281,9 @@ def _hist_sql(axes, value: str, where: str = "true", number: bool = True) -> str
     return f"SELECT {f'CAST({linear} AS BIGINT) AS bin, ' if number else ''}{names}, coalesce(value, 0) AS value FROM (SELECT {', '.join(f'CAST(bin{i} AS INT) AS bin{i}' for i in range(len(axes)))} FROM {every}) LEFT JOIN (SELECT {names}, {value} AS value FROM (SELECT *, {cells} FROM lineitem WHERE {inside} AND {where}) GROUP BY {names}) USING ({names})"
 
 
+#: Cells of _order_cells with their coordinates, and the shape of the mesh.
+_ORDER_CELLS = """(SELECT DISTINCT l_orderkey * n1 + l_linenumber AS cell, l_orderkey AS c0, CAST(l_linenumber AS BIGINT) AS c1, n0, n1
+FROM lineitem, (SELECT max(l_orderkey) + 1 AS n0, max(l_linenumber) + 1 AS n1 FROM lineitem) WHERE l_quantity > 12)"""
 #: Keywords of whole documents, as in x_contains_one.
 _TERMS = r"""(SELECT DISTINCT term, doc FROM (SELECT unnest(list_transform(regexp_extract_all(text, '''[^'']*''|"[^"]*"|[^;, \x0B\x08\f\r\t\n''"]+'), lambda x: trim(regexp_replace(x, '^[''"]|[''"]$', '', 'g')))) AS term, doc_id AS doc FROM documents) WHERE term <> '')"""
 
@@ -280,6 +309,9 @@ FUNCTION_SQL = {
     "g_coords": f"SELECT cell, cell // 70 % 100 AS c0, cell // 7 % 10 AS c1, cell % 7 AS c2 FROM {_CELLS}",
     "g_lines": f"SELECT c0, c1, min(c2) AS first, max(c2) AS last FROM (SELECT cell // 70 AS c0, cell // 7 % 10 AS c1, cell % 7 AS c2, cell % 7 - row_number() OVER (PARTITION BY cell // 7 ORDER BY cell) AS g FROM {_CELLS}) GROUP BY c0, c1, g",
     "g_hyperslab": f"SELECT cell FROM {_CELLS} WHERE cell // 70 < 50 AND cell // 70 % 2 = 0 AND cell // 7 % 10 BETWEEN 1 AND 8 AND (cell // 7 % 10 - 1) % 3 = 0",
+    "g_coords_all": f"SELECT cell, c0, c1 FROM {_ORDER_CELLS}",
+    "g_lines_all": f"SELECT c0, min(c1) AS first, max(c1) AS last FROM (SELECT c0, c1, c1 - row_number() OVER (PARTITION BY c0 ORDER BY c1) AS g FROM {_ORDER_CELLS}) GROUP BY c0, g",
+    "g_hyperslab_all": f"SELECT cell FROM {_ORDER_CELLS} WHERE c0 < n0 // 2 AND c0 % 2 = 0 AND c1 >= 1 AND (c1 - 1) % 3 = 0",
     "g_components": f"""WITH RECURSIVE h AS (SELECT cell, cell // 70 AS a, cell // 7 % 10 AS b, cell % 7 AS c FROM {_CELLS} WHERE cell % 3 <> 0),
 e AS (SELECT x.cell AS u, y.cell AS v FROM h x JOIN h y ON abs(x.a - y.a) + abs(x.b - y.b) + abs(x.c - y.c) = 1),
 r(cell, reach) AS (SELECT cell, cell FROM h UNION SELECT r.cell, e.v FROM r JOIN e ON e.u = r.reach),
