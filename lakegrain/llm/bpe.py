@@ -23,17 +23,15 @@ import re
 from array import array
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import regex
-import xxhash
+
+from .kernels import ragged_take, span_hashes
 
 #: Entries of the unit and of the piece cache of one worker, and the bytes of the longest entry.
 MAX_ENTRIES, MAX_CACHED = (300_000, 600_000), 128
 #: The same of a prefix engine, whose pieces cost more, and the entries of its tables of pairs and of prefixes.
 PREFIX_ENTRIES, PAIRS, PREFIXES = (150_000, 400_000), 300_000, 100_000
-#: Bytes of text that are encoded at a time; a longer text makes a chunk alone.
-CHUNK = 2 << 20
 
 #: Marks that are a piece of their own between letters and the end of a unit.
 _MARKS = frozenset(".,;:!?)")
@@ -111,6 +109,8 @@ class PieceCache:
 
     def encode_chunk(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of texts end to end, text k at bounds[k]:bounds[k + 1] -> (ids, where each text's ids begin, and the end)."""
+        from pandas import factorize  # loaded where texts are encoded only
+
         n = len(bounds) - 1
         if not len(buf):
             return np.zeros(0, "<u4"), np.zeros(n + 1, np.int64)
@@ -138,7 +138,7 @@ class PieceCache:
         starts = np.flatnonzero(cut)
         starts, stops = starts[:-1], starts[1:]
         one, two = span_hashes(buf, starts, stops)
-        inverse, keys = pd.factorize(one)
+        inverse, keys = factorize(one)
         first = np.empty(len(keys), np.int64)
         first[inverse[::-1]] = np.arange(len(one) - 1, -1, -1)
         if not np.array_equal(two[first][inverse], two):  # a collision of 64 bits: tell units apart by 128
@@ -157,53 +157,6 @@ class PieceCache:
         return ids, total[np.searchsorted(starts, bounds)]
 
 
-def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Concatenates flat[starts[w]:starts[w] + lens[w]] for each w of ``which``."""
-    n = lens[which]
-    ends = np.cumsum(n)
-    if not len(ends) or not ends[-1]:
-        return flat[:0]
-    at = np.repeat(starts[which] - (ends - n), n)
-    at += np.arange(ends[-1])
-    return flat[at]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-_MULTIPLY = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
-#: Words of 8 bytes that are mixed for all spans together; longer spans are hashed one by one.
-_TOGETHER = 8
-
-
-def span_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int = 2, together: int = _TOGETHER) -> list[np.ndarray]:
-    """n independent hashes of 64 bits of each span, 8 bytes at a time. A span's hash depends on its bytes alone."""
-    data = buf.tobytes() + bytes(8)
-    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    left = stops - starts
-    out = [mix(left.astype(np.uint64) * _MULTIPLY[k]) for k in range(n)]
-    long = np.flatnonzero(left > 8 * together)
-    at, which = starts, np.arange(len(starts))
-    for _ in range(together):
-        w = words[at] & _MASKS[np.minimum(left, 8)]
-        for k in range(n):
-            h = (out[k][which] ^ w) * _MULTIPLY[k]
-            out[k][which] = h ^ (h >> np.uint64(32))
-        more = left > 8
-        if not more.any():
-            break
-        at, left, which = at[more] + 8, left[more] - 8, which[more]
-    for x in long.tolist():
-        h = xxhash.xxh3_128_intdigest(data[starts[x] : stops[x]])
-        for k in range(n):
-            out[k][x] = h >> 64 * k & 0xFFFFFFFFFFFFFFFF
-    return [mix(h) for h in out]
-
-
 class Pieces:
     """What both engines offer: ids of single texts, and of chunks of UTF-8."""
 
@@ -377,25 +330,3 @@ class PrefixPieces(Pieces):
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bpe.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-def utf8_chunks(column, most: int = CHUNK):
-    """An Arrow string column (nulls: empty) as (first row, bytes, bounds) of rows of about ``most`` bytes at most."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
-    if column.null_count:
-        column = pc.fill_null(column, "")
-    n = len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    row = 0
-    while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
-        end = min(end, n)
-        yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end

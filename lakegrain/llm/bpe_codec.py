@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PrefixPieces, utf8_chunks
+from .bpe import PrefixPieces
 from .common import engine, map_arrow
+from .kernels import utf8_chunks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 

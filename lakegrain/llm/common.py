@@ -6,13 +6,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import span_hashes, utf8_chunks
+from .kernels import span_hashes, utf8_chunks
 
 #: Rows of one key are first merged in so many salted runs.
 SALTS, FAN = 64, 8
@@ -23,30 +24,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset (tests), a folder of our own."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a folder of our own in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(spark, "_lakegrain_shared", None)
         if not found:
             found = spark._lakegrain_shared = "file://" + tempfile.mkdtemp(prefix="lakegrain-")
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch while a table is staged: what one task holds of its input, however long the texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions inside send workers batches of BATCH_ROWS rows or BATCH_BYTES bytes, whichever is less."""
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = [spark.conf.get(k) for k in names]
+    for k, v in zip(names, (BATCH_ROWS, BATCH_BYTES)):
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in zip(names, old):
+            spark.conf.set(k, v)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lakegrain/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._staged_at = at
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Removes staged tables that no later step reads."""
+    """Removes tables made by ``staged`` that no later step reads."""
     for df in frames:
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if "/lakegrain/" in f:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def salt(*cols: str | Column) -> Column:

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import mix, utf8_chunks
 from .common import forget_engines, map_arrow
+from .kernels import mix, utf8_chunks
 
 #: Bytes of an n-gram; documents of each language that the filters are fitted on (about); share of them that must
 #: have an n-gram; share of the highest rate of any language that its rate must reach; slots and probes of the filters.

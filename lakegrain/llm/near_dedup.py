@@ -4,15 +4,16 @@
    one-permutation sketch (the first value in each of BINS equal ranges).  An empty
    bin takes the value of the first filled bin in a random order of its own.
 2. Texts with one set of shingles form a class; one row stands for it from here on.
-3. Bands of the sketch deal classes to buckets.  In a bucket edges go from a centre
-   to members, never from all to all.  Edges are confirmed on the full sets.
-4. A bucket whose members are in one component is done.  A few rounds more with other centres join most of what
-   belongs together, at one edge for each class and round.  For the buckets left, shingles that no other undecided
-   text has are counted: most false candidates thereby cannot reach the similarity with anyone and go.  Parity
-   bitmaps of the sets give each pair a least difference, and pairs beyond what the similarity allows go too.
-   Then members outside the bucket's largest component become centres in turn; their edges go to members of
-   other components that sizes and bitmaps still allow, and they leave the bucket.  So no link that a
-   bucket shows is lost, and a bucket of n copies costs n edges.  Rounds go on until no bucket is left.
+3. Bands of the sketch deal classes to buckets.  In a bucket edges go from the centre, its first class, to the
+   members, never from all to all.  Edges are confirmed on the full sets, and components are formed.
+4. A bucket whose members are in one component is done.  Of the others, texts go that share too few shingles with
+   all other undecided texts together to be alike any of them: a count, linear in the shingles.
+5. What is left in a bucket is compared across components by exact bounds (sizes, shared shingles, and the parity
+   bitmap of the set, which gives each pair a least difference) inside the join, so a pair that cannot be alike is
+   never a row.  The few that pass are confirmed on the full sets.  No link that a bucket shows is lost.
+
+A key with many rows (a bucket, a component, a class, the centre of a large star) is met by sums before the
+shuffle, by salts, or by sort-merge joins whose heavy partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -21,29 +22,36 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import mix
 from .common import byte_class, chunk_words, discard, map_arrow, numbered, release, salt, staged, tree_merge, windows, without_rows
+from .kernels import mix
 
 SHINGLE, PERCENT = 5, 85
-#: Sketch values; with ROWS of them in a band a pair of similarity s shares a band with 1 - (1 - s**ROWS)**(BINS / ROWS):
-#: all but 3e-7 of pairs at 0.85 and all but 6e-5 of pairs at 0.8.
-BINS, ROWS = 192, 6
+#: Sketch values. With ``rows`` of them in a band a pair of similarity s shares a band with 1 - (1 - s**rows)**(BINS / rows).
+BINS = 192
+#: Share of the pairs at the threshold itself that banding may miss; less above it. 3e-7 are missed at 0.85, 6e-5 at 0.8.
+MISSED = 1e-4
 WORD = byte_class(r"[^\x20\x09-\x0D]")
-#: Edges (16 bytes each) that are broadcast rather than shuffled with the sets.
-BROADCAST_EDGES = 50_000
-#: Rounds in which each text has one edge; they join most of what belongs together.
-FIRST_STARS = 4
+#: Rows wanted again (some 60 bytes each) that are broadcast to a second scan of the texts rather than joined with them.
+BROADCAST_ROWS = 200_000
+#: Runs that the edges of one centre are dealt to.
+RUNS = 256
 #: Words of 64 bits in the bitmap of an undecided text.
 WORDS = 16
-#: Each round takes so many times the stars of a bucket that the last one took.
-STARS = 8
 _RNG = np.random.default_rng(3)
 _EDGES = np.array([(k << 64) // BINS for k in range(BINS)], dtype=object).astype(np.uint64)
 _ORDER = np.argsort(_RNG.random((BINS, BINS)), axis=1)
-_BAND = np.arange(BINS // ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def band_rows(percent: int) -> int:
+    """Sketch values in a band: as many as miss no more than MISSED of the pairs at the threshold."""
+    s = percent / 100
+    for rows in (6, 4, 3, 2, 1):
+        if (1 - s**rows) ** (BINS // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{percent} percent is too low a similarity for {BINS} sketch values")
 
 
 def shingle_sets(column: pa.Array):
@@ -74,28 +82,23 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return values
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    v = mix(sketch(s)).reshape(-1, ROWS)
-    out = _BAND.copy()
-    for i in range(ROWS):
+def bands(s: np.ndarray, rows: int) -> np.ndarray:
+    v = mix(sketch(s)).reshape(-1, rows)
+    out = np.arange(len(v), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(rows):
         out = mix(out * np.uint64(0xD1342543DE82EF95) + v[:, i])
     return out.view(np.int64)
 
 
-def _signatures(batch: pa.RecordBatch):
-    n, prints, keys = [], [], []
-    for s in shingle_sets(batch.column(2)):
-        n.append(len(s))
-        prints.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-        keys.append(bands(s) if len(s) else np.zeros(0, np.int64))
-    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n", "print", "bands"])
+def _print(s: np.ndarray) -> bytes | None:
+    return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def _sets(batch: pa.RecordBatch):
-    """Sets of candidate rows; a row that only shares its id with a candidate has another print and gives none."""
+    """Sets of candidate rows; a row that only shares id and hash with a candidate has another print and gives none."""
     keep, sets = [], []
     for s, known in zip(shingle_sets(batch.column(0)), batch.column(2).to_pylist()):
-        keep.append(len(s) > 0 and blake2b(s.tobytes(), digest_size=16).digest() == known)
+        keep.append(len(s) > 0 and _print(s) == known)
         sets.append(s.tobytes())
     yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.binary())], ["node", "set"]).filter(pa.array(keep, pa.bool_()))
 
@@ -113,148 +116,157 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component of texts that are ``percent`` alike; all columns.
+
+    Rows go by their number, so copies under one id or without an id go too, and other texts of such an id stay.
+    """
+    rows, name = numbered(docs)
+    gone = _judged(rows, name, percent).filter("node <> head")
+    return without_rows(rows, name, gone.select(F.col("node").alias(name)))
+
+
 def _judged(docs: DataFrame, number: str | None, percent: int) -> DataFrame:
     """node, doc_id, n_shingles, component_id, and ``head``, the node of the one row that stands for the component.
 
-    ``number`` is a column that numbers the rows; without one they are numbered as they are read, and found again by id.
+    ``number`` is a column that numbers the rows; without one they are numbered as they are read, and found again
+    by id and text hash.
     """
-    node = F.col(number) if number else F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), "text")
-    sig = staged(map_arrow(rows, _signatures, "doc_id long, node long, n long, print binary, bands array<long>"), "signatures")
-    own = sig.filter("n > 0").select("doc_id", "node", "n", "print").withColumn("_salt", salt("node"))
-    best = F.struct(F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("id"), (-F.col("node")).alias("node"))
-    classed = staged(tree_merge(own, ["print"], best, "_best").select("doc_id", "node", "n", (-F.col("_best.node")).alias("rep")), "classes")
-    heads = classed.filter("node = rep").select("node")
-    # centres of buckets with two classes or more
-    buckets = sig.select("node", "n", "bands").join(heads, "node").select("node", "n", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    active = staged(buckets.join(shared.select("key", "low"), "key"), "buckets")
+    sig = staged(_signatures(docs, number, percent), "signatures")
+    classed, best = _classes(sig)
+    active = _shared_buckets(sig, classed)
     release(docs.sparkSession)
     fits = f"100 * least(n, other) >= {percent} * greatest(n, other)"
-    # the first star: each class and the centre that most of its buckets name
-    centre = active.select(F.col("node").alias("low"), F.col("n").alias("other")).distinct()
-    first = active.filter("node <> low").groupBy("node", "n", "low").agg(F.count(F.lit(1)).alias("c"))
-    first = first.groupBy("node", "n").agg(F.max(F.struct("c", -F.col("low"))).alias("m")).select("node", "n", (-F.col("m.col2")).alias("low"))
-    edges = staged(first.join(centre, "low").filter(fits).select(F.col("low").alias("a"), F.col("node").alias("b")), "edges")
-    members = active.select("node").distinct()
-    wanted = sig.join(members, "node").select("doc_id", "node", "print")
-    if number:
-        wide = docs.select(F.col(number).alias("node"), "text").join(wanted, "node").select("text", "node", "print")
-    else:
-        wide = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("text", "node", "print")
-    sets = staged(map_arrow(wide, _sets, "node long, set binary"), "sets")
+    edges = active.filter("node <> low").filter(fits).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    sets = staged(_sets_of(docs, number, sig, active), "sets")
+    links = _confirmed(edges, sets, percent)
+    labels = connected(links)
+    live = staged(_undecided(active, labels), "undecided")
+    more = _confirmed(_alike(_bounded(live, sets, percent), percent), sets, percent)
+    if not more.isEmpty():
+        labels = connected(links.unionByName(more), labels)
+    discard(active, sets, live)
     release(docs.sparkSession)
-    labels = connected(confirm(edges, sets, percent))
-    live, tested = active.select("key", "node", "n"), edges
-    for k in range(1, FIRST_STARS):
-        live = staged(_undecided(live, labels), "undecided")
-        more = staged(_other_star(live, k, fits).join(tested, ["a", "b"], "left_anti"), "edges")
-        labels = _merged(labels, confirm(more, sets, percent))
-        tested = staged(tested.unionByName(more), "tested")
-        live = live.select("key", "node", "n")
-    live = _undecided(live, labels)
-    live = staged(live.join(_shared_sizes(live, sets, percent), "node").select("key", "node", "n", "c", "bits"), "live")
-    stars = 1
-    while True:
-        live, more = _next_edges(live, labels, tested, stars, percent)
-        if more is None:
-            break
-        labels = _merged(labels, confirm(more, sets, percent))
-        tested = staged(tested.unionByName(more), "tested")
-        stars *= STARS
-    named = classed.filter("node = rep").select("doc_id", "node").join(labels, "node")
-    names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.max(best).alias("_m"))
-    component = labels.join(names, "label").select(F.col("node").alias("rep"), "component_id", (-F.col("_m.node")).alias("head"))
-    firsts = classed.filter("node = rep").select(F.col("doc_id").alias("first_id"), "rep")
-    of = firsts.join(component, "rep", "left").select("rep", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("head", "rep").alias("head"))
-    full = classed.join(of, "rep").select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id", "head")
-    none = sig.filter("n = 0").select("node", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("head"))
-    return full.unionByName(none)
+    return _named(sig, classed, labels, best)
 
 
-def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component of texts that are ``percent`` alike; all columns.
-
-    Rows go by their number, so copies under one id or without an id go too, and other texts of such an id stay.
-    """
-    rows, name = numbered(docs)
-    gone = _judged(rows, name, percent).filter("node <> head")
-    return without_rows(rows, name, gone.select(F.col("node").alias(name)))
+def _signatures(docs: DataFrame, number: str | None, percent: int) -> DataFrame:
+    """doc_id, node, t (hash of the text), n (shingles), print (of the set), bands."""
+    rows = band_rows(percent)
 
+    def each(batch: pa.RecordBatch):
+        n, prints, flat, ends = [], [], [], [0]
+        for s in shingle_sets(batch.column(3)):
+            n.append(len(s))
+            prints.append(_print(s))
+            if len(s):
+                flat.append(bands(s, rows))
+            ends.append(ends[-1] + (BINS // rows if len(s) else 0))
+        keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(prints, pa.binary()), keys], ["doc_id", "node", "t", "n", "print", "bands"])
 
-def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose full sets are alike enough."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    if edges.count() <= BROADCAST_EDGES:
-        left = a.join(F.broadcast(edges), "a")
-        right = b.join(F.broadcast(edges.select("b").distinct()), "b", "left_semi")
-    else:
-        left, right = edges.join(a, "a"), b
+    node = F.col(number) if number else F.monotonically_increasing_id()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), F.xxhash64("text").alias("t"), "text")
+    return map_arrow(texts, each, "doc_id long, node long, t long, n long, print binary, bands array<long>")
 
-    def check(batch: pa.RecordBatch):
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * common >= percent * (len(both) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = left.join(right.hint("merge"), "b").select("a", "b", "set_a", "set_b")
-    return staged(map_arrow(pairs, check, "a long, b long"), "links")
+def _classes(sig: DataFrame):
+    """(doc_id, node, n, rep) of texts with shingles: ``rep`` is the row of the class with the smallest id; and that order."""
+    best = F.struct(F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("id"), (-F.col("node")).alias("node"))
+    own = sig.filter("n > 0").select("doc_id", "node", "n", "print").withColumn("_salt", salt("node"))
+    return staged(tree_merge(own, ["print"], best, "_best").select("doc_id", "node", "n", (-F.col("_best.node")).alias("rep")), "classes"), best
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, label) of every node with a link: the smallest node that links reach. Labels spread and jump until nothing changes."""
-    both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        spread = staged(spread, "spread")
-        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = staged(spread.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        if new.filter("old <> label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+def _shared_buckets(sig: DataFrame, classed: DataFrame) -> DataFrame:
+    """(key, node, n, low, other) of buckets with two classes or more; the centre is ``low`` and has ``other`` shingles."""
+    heads = classed.filter("node = rep").select("node")
+    buckets = sig.filter("n > 0").select("node", "n", "bands").join(heads, "node").select("node", "n", F.explode("bands").alias("key"))
+    ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("_high"), F.min(F.struct("node", "n")).alias("_low"))
+    centres = ends.filter("low < _high").select("key", "low", F.col("_low.n").alias("other"))
+    return staged(buckets.join(centres.hint("merge"), "key"), "buckets")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after more links: components, not nodes, are joined."""
-    def named(col):
-        return links.join(labels.select(F.col("node").alias(col), F.col("label").alias("_" + col)), col, "left").select("a", "b", F.coalesce("_" + col, col).alias("_" + col))
+def _sets_of(docs: DataFrame, number: str | None, sig: DataFrame, active: DataFrame) -> DataFrame:
+    """(node, set): the full sets of the classes in ``active``, from a second scan of the texts."""
+    wanted = staged(sig.join(active.select("node").distinct(), "node").select("doc_id", "node", "t", "print"), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    if number:
+        return map_arrow(docs.select(F.col(number).alias("node"), "text").join(few.drop("doc_id"), "node").select("text", "node", "print"), _sets, "node long, set binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("t"), "text")
+    wide = texts.join(few, (texts["t"] == few["t"]) & texts["_id"].eqNullSafe(few["doc_id"])).select("text", "node", "print")
+    # rows with one id and one text give a set each
+    return map_arrow(wide, _sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
-    pairs = named("a").join(named("b"), ["a", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b")
-    joined = connected(pairs)
-    old = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
-    alone = joined.join(labels.select("node"), "node", "left_anti")
-    return staged(old.unionByName(alone), "labels")
 
+def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) whose full sets are alike enough.
 
-def _other_star(live: DataFrame, k: int, fits: str) -> DataFrame:
-    """One edge for each text at most: to the centre, another one for each k, that most of its undecided buckets name."""
-    centre = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "label")).alias("m"))
-    centre = centre.select("key", F.col("m.node").alias("other_node"), F.col("m.n").alias("other"), F.col("m.label").alias("theirs"))
-    named = live.join(centre, "key").filter("label <> theirs").filter(fits)
-    named = named.groupBy("node", "other_node").agg(F.count(F.lit(1)).alias("k"))
-    best = named.groupBy("node").agg(F.max(F.struct("k", "other_node")).alias("m")).select("node", "m.other_node")
-    return best.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+    The edges of ``a`` are dealt to RUNS runs.  The set of ``a`` comes first in a run and only once, then those of its
+    partners one by one, so a worker holds two sets and a batch, however large the star is.
+    """
+    dealt = edges.withColumn("run", F.pmod(F.xxhash64("b"), F.lit(RUNS)).cast("int"))
+    centres = dealt.select("a", "run").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "run", F.lit(None).cast("long").alias("b"), "set")
+    members = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "run", "b", "set")
+    runs = centres.unionByName(members).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
+
+    def check(batches):
+        centre = None
+        for batch in batches:
+            mine, theirs = [], []
+            for a, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if b is None:
+                    centre = s.copy()
+                    continue
+                both = np.concatenate([centre, s])
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * common >= percent * (len(both) - common):
+                    mine.append(a)
+                    theirs.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array(theirs, pa.int64())], ["a", "b"])
+
+    return staged(runs.select("a", "b", "set").mapInArrow(check, "a long, b long"), "links")
+
+
+def connected(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, label) of every node with a link: the smallest node that links reach.
+
+    Labels spread to neighbours and jump to the label of their label until nothing changes.  ``known`` has labels
+    from a part of the links to start from.
+    """
+    both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    if known is not None:
+        labels = labels.join(known.withColumnRenamed("label", "_old"), "node", "left").select("node", F.least("label", "_old").alias("label"))
+    labels = staged(labels, "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
+        new = staged(spread.join(jump.hint("merge"), "to").select("node", "old", F.least("to", "far").alias("label")), "labels")
+        discard(labels)
+        labels = new.select("node", "label")
+        labels._staged_at = new._staged_at
+        if new.filter("old <> label").isEmpty():
+            discard(both)
+            return labels
 
 
-def _undecided(live: DataFrame, labels: DataFrame) -> DataFrame:
+def _undecided(active: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets whose members are in more than one component, with ``label``."""
-    now = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    now = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = now.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y").select("key")
-    return now.join(open_, "key")
+    return now.join(open_.hint("merge"), "key").select("key", "node", "n", "low", "label")
 
 
-def _shared_sizes(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, c): shingles that some other undecided text has too; a text that has too few of them has no link and is left out.
+def _bounded(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``live`` with (c, bits) of the texts that can have a link.
 
-    The intersection with any of these texts is at most c, and the union at least the text's own size.
+    ``c`` counts the shingles that some other undecided text has too: the intersection with any of these is at most
+    c, and the union at least the text's own size.  ``bits`` is the parity bitmap of the set.
     """
-    nodes = live.select("node", "n").distinct()
+    nodes = staged(live.select("node", "n").distinct(), "nodes")
 
     def each(batch: pa.RecordBatch):
         for node, s in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -264,10 +276,11 @@ def _shared_sizes(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shingles = map_arrow(sets.join(nodes.select("node"), "node", "left_semi"), each, "h long, node long")
     alone = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
     alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    sizes = nodes.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+    sizes = nodes.join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"), "n")
     sizes = staged(sizes.filter(f"100 * c >= {percent} * n").select("node", "c"), "sizes")
-    bits = map_arrow(sets.join(sizes.select("node"), "node", "left_semi"), _bitmaps, "node long, bits array<long>")
-    return staged(sizes.join(bits, "node"), "bitmaps")
+    bits = staged(map_arrow(sets.join(sizes, "node").select("node", "set", "c"), _bitmaps, "node long, c long, bits array<long>"), "bitmaps")
+    discard(nodes, sizes)
+    return live.join(bits.hint("merge"), "node")
 
 
 def _bitmaps(batch: pa.RecordBatch):
@@ -279,34 +292,29 @@ def _bitmaps(batch: pa.RecordBatch):
         flat.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
     flat = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * WORDS), flat)
-    yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "bits"])
-
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["node", "c", "bits"])
 
-def _next_edges(live: DataFrame, labels: DataFrame, tested: DataFrame, stars: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Undecided buckets and the next ``stars`` stars of each: (rows left, edges) or (.., None) when all are decided.
 
-    Centres are members outside the largest component of the bucket, those of the smallest components first; all
-    their edges to other components follow, so they leave the bucket.
-    """
+def _alike(live: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between components of a bucket that no bound rules out; those with the centre were confirmed before."""
+    names = {c: c + "2" for c in ("node", "n", "c", "bits", "label")}
+    other = live.select(F.col("key").alias("key2"), *[F.col(a).alias(b) for a, b in names.items()])
     differ = " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(WORDS))
-    while True:
-        rows = staged(_undecided(live.select("key", "node", "n", "c", "bits"), labels).select("key", "node", "n", "c", "bits", "label"), "rows")
-        if rows.isEmpty():
-            return rows, None
-        kinds = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-        main = kinds.groupBy("key").agg(F.max(F.struct("k", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-        outer = rows.join(main, "key").filter("label <> main").join(kinds, ["key", "label"])
-        place = F.row_number().over(Window.partitionBy("key").orderBy("k", "node"))
-        centres = outer.withColumn("_at", place).filter(F.col("_at") <= stars)
-        centres = staged(centres.select("key", F.col("node").alias("centre"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("bits").alias("bits2"), F.col("label").alias("mine")), "centres")
-        alike = F.expr(f"100 * least(c, c2) >= {percent} * (n + n2 - least(c, c2)) and {100 + percent} * ({differ}) <= {100 - percent} * (n + n2)")
-        star = rows.join(centres.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("label") != F.col("mine")) & alike)
-        pairs = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        live = staged(rows.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"), "live")  # read twice
-        edges = staged(pairs.join(tested, ["a", "b"], "left_anti"), "edges")
-        if not edges.isEmpty():
-            return live, edges
-        stars *= STARS
+    bound = f"100 * least(c, c2) >= {percent} * (n + n2 - least(c, c2)) and {100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"
+    pairs = live.join(other.hint("merge"), F.expr(f"key = key2 and node < node2 and label <> label2 and node <> low and {bound}"))
+    return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def _named(sig: DataFrame, classed: DataFrame, labels: DataFrame, best) -> DataFrame:
+    """What ``_judged`` returns, from the labels of class representatives."""
+    reps = classed.filter("node = rep").select("doc_id", "node")
+    names = reps.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.max(best).alias("_m"))
+    component = labels.join(names.hint("merge"), "label").select(F.col("node").alias("rep"), "component_id", (-F.col("_m.node")).alias("head"))
+    of = reps.select(F.col("doc_id").alias("_first"), F.col("node").alias("rep")).join(component, "rep", "left")
+    of = of.select("rep", F.coalesce("component_id", "_first").alias("component_id"), F.coalesce("head", "rep").alias("head"))
+    full = classed.join(of.hint("merge"), "rep").select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id", "head")
+    none = sig.filter("n = 0").select("node", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("head"))
+    return full.unionByName(none)
 
 
 ORACLE = r"""

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import mix, span_hashes, utf8_chunks
 from .common import discard, map_arrow, release, staged
+from .kernels import mix, span_hashes, utf8_chunks
 
 LENGTH, GRAM = 200, 64
 #: Windows that are first compared together.

@@ -19,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import LibraryPieces, utf8_chunks
+from .bpe import LibraryPieces
 from .common import engine, shared_dir, staged
+from .kernels import utf8_chunks
 
 TOKENIZER, END_OF_DOCUMENT, WIDTH = "byte_bpe_50k.json", 50256, 2
 #: Bytes of a block.

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import LibraryPieces, mix, utf8_chunks
+from .bpe import LibraryPieces
 from .common import engine, map_arrow, release, shared_dir, windows
+from .kernels import mix, utf8_chunks
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids that the rolling hash sees; a cut on average every MEAN ids, never before LEAST, always after MOST.

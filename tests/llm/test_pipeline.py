@@ -27,7 +27,8 @@ def test_near_threshold(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 3]
     assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs).collect()) == [1, 2, 3]
     # what banding misses at the threshold
-    assert (1 - 0.8**near_dedup.ROWS) ** (near_dedup.BINS // near_dedup.ROWS) < 6.1e-5
+    assert near_dedup.band_rows(80) == 6 and (1 - 0.8**6) ** (near_dedup.BINS // 6) < 6.1e-5
+    assert near_dedup.band_rows(50) < 6
 
 
 def test_rows_go_by_themselves(spark):
