@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, chunk_words, discard, map_arrow, numbered, release, salt, staged, tree_merge, windows, without_rows
+from .common import byte_class, chunk_words, discard, map_arrow, numbered, release, staged, windows, without_rows
 from .kernels import mix
 
 SHINGLE, PERCENT = 5, 85
@@ -34,8 +34,10 @@ BINS = 192
 #: Share of the pairs at the threshold itself that banding may miss; less above it. 3e-7 are missed at 0.85, 6e-5 at 0.8.
 MISSED = 1e-4
 WORD = byte_class(r"[^\x20\x09-\x0D]")
-#: Rows wanted again (some 60 bytes each) that are broadcast to a second scan of the texts rather than joined with them.
+#: Rows (60 bytes each at most; bitmaps 160) of a staged table that are broadcast rather than joined by sorting.
 BROADCAST_ROWS = 200_000
+#: Files of tables that small.
+FILES = 6
 #: Runs that the edges of one centre are dealt to.
 RUNS = 256
 #: Words of 64 bits in the bitmap of an undecided text.
@@ -133,21 +135,39 @@ def _judged(docs: DataFrame, number: str | None, percent: int) -> DataFrame:
     by id and text hash.
     """
     sig = staged(_signatures(docs, number, percent), "signatures")
-    classed, best = _classes(sig)
-    active = _shared_buckets(sig, classed)
+    classed = _classes(sig)
+    discard(sig)
+    active = _shared_buckets(classed)
     release(docs.sparkSession)
     fits = f"100 * least(n, other) >= {percent} * greatest(n, other)"
-    edges = active.filter("node <> low").filter(fits).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    sets = staged(_sets_of(docs, number, sig, active), "sets")
+    edges = _kept(active.filter("node <> low").filter(fits).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "edges", active)
+    sets = _sets_of(docs, number, classed, active)
     links = _confirmed(edges, sets, percent)
     labels = connected(links)
-    live = staged(_undecided(active, labels), "undecided")
-    more = _confirmed(_alike(_bounded(live, sets, percent), percent), sets, percent)
+    live = _undecided(active, labels)
+    more = _confirmed(_kept(_alike(_bounded(live, sets, percent), percent), "edges", live), sets, percent)
     if not more.isEmpty():
-        labels = connected(links.unionByName(more), labels)
+        labels = connected(_union(links, more), labels)
     discard(active, sets, live)
     release(docs.sparkSession)
-    return _named(sig, classed, labels, best)
+    return _named(classed, labels)
+
+
+def _rows(df: DataFrame) -> int:
+    """Rows of a staged table, counted once."""
+    if not hasattr(df, "_rows"):
+        df._rows = df.count()
+    return df._rows
+
+
+def _light(df: DataFrame) -> DataFrame:
+    """A staged table for a join: broadcast up to BROADCAST_ROWS rows, else joined by sorting, where Spark splits heavy keys."""
+    return F.broadcast(df) if _rows(df) <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _kept(df: DataFrame, label: str, bound: DataFrame) -> DataFrame:
+    """``staged``, in a few files if the table ``bound``, from whose rows it is made, is small."""
+    return staged(df.coalesce(FILES) if _rows(bound) <= BROADCAST_ROWS else df, label)
 
 
 def _signatures(docs: DataFrame, number: str | None, percent: int) -> DataFrame:
@@ -170,32 +190,42 @@ def _signatures(docs: DataFrame, number: str | None, percent: int) -> DataFrame:
     return map_arrow(texts, each, "doc_id long, node long, t long, n long, print binary, bands array<long>")
 
 
-def _classes(sig: DataFrame):
-    """(doc_id, node, n, rep) of texts with shingles: ``rep`` is the row of the class with the smallest id; and that order."""
+def _classes(sig: DataFrame) -> DataFrame:
+    """doc_id, node, t, n, print, rep, first, bands: ``rep`` is the row of the class with the smallest id, ``first``.
+
+    Only rows that stand for a class keep their bands.  Rows without shingles are classes of their own.
+    """
     best = F.struct(F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("id"), (-F.col("node")).alias("node"))
-    own = sig.filter("n > 0").select("doc_id", "node", "n", "print").withColumn("_salt", salt("node"))
-    return staged(tree_merge(own, ["print"], best, "_best").select("doc_id", "node", "n", (-F.col("_best.node")).alias("rep")), "classes"), best
+    copies = sig.filter("n > 0").groupBy("print").agg(F.max(best).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    copies = staged(copies.select("print", (-F.col("m.node")).alias("_rep"), (-F.col("m.id")).alias("_first")), "copies")
+    rows = sig.join(_light(copies), "print", "left")
+    rows = rows.withColumns({"rep": F.coalesce("_rep", "node"), "first": F.when(F.col("_rep").isNull(), F.col("doc_id")).otherwise(F.col("_first"))})
+    rows = rows.withColumn("bands", F.when((F.col("node") == F.col("rep")) & (F.col("n") > 0), F.col("bands")))
+    return staged(rows.select("doc_id", "node", "t", "n", "print", "rep", "first", "bands"), "classes")
 
 
-def _shared_buckets(sig: DataFrame, classed: DataFrame) -> DataFrame:
+def _shared_buckets(classed: DataFrame) -> DataFrame:
     """(key, node, n, low, other) of buckets with two classes or more; the centre is ``low`` and has ``other`` shingles."""
-    heads = classed.filter("node = rep").select("node")
-    buckets = sig.filter("n > 0").select("node", "n", "bands").join(heads, "node").select("node", "n", F.explode("bands").alias("key"))
-    ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("_high"), F.min(F.struct("node", "n")).alias("_low"))
-    centres = ends.filter("low < _high").select("key", "low", F.col("_low.n").alias("other"))
-    return staged(buckets.join(centres.hint("merge"), "key"), "buckets")
+    buckets = classed.filter("bands is not null").select("node", "n", F.explode("bands").alias("key"))
+    ends = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("_low"), F.max("node").alias("_high")).filter("_low.node < _high")
+    centres = staged(ends.select("key", F.col("_low.node").alias("low"), F.col("_low.n").alias("other")), "centres")
+    return staged(buckets.join(_light(centres), "key"), "buckets")
 
 
-def _sets_of(docs: DataFrame, number: str | None, sig: DataFrame, active: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, number: str | None, classed: DataFrame, active: DataFrame) -> DataFrame:
     """(node, set): the full sets of the classes in ``active``, from a second scan of the texts."""
-    wanted = staged(sig.join(active.select("node").distinct(), "node").select("doc_id", "node", "t", "print"), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    nodes = _light(_kept(active.select("node").distinct(), "nodes", active))
+    wanted = staged(classed.filter("node = rep").join(nodes, "node").select("doc_id", "node", "t", "print"), "wanted")
+    few = _light(wanted)
     if number:
-        return map_arrow(docs.select(F.col(number).alias("node"), "text").join(few.drop("doc_id"), "node").select("text", "node", "print"), _sets, "node long, set binary")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("t"), "text")
-    wide = texts.join(few, (texts["t"] == few["t"]) & texts["_id"].eqNullSafe(few["doc_id"])).select("text", "node", "print")
-    # rows with one id and one text give a set each
-    return map_arrow(wide, _sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+        wide = docs.select(F.col(number).alias("node"), "text").join(few.drop("doc_id"), "node")
+    else:
+        texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_t"), "text")
+        wide = texts.join(few, (F.col("_t") == F.col("t")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    sets = staged(map_arrow(wide.select("text", "node", "print"), _sets, "node long, set binary"), "sets")
+    if sets.count() > wanted.count():  # rows with one id and one text gave a set each
+        sets = staged(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    return sets
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,8 +235,10 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     partners one by one, so a worker holds two sets and a batch, however large the star is.
     """
     dealt = edges.withColumn("run", F.pmod(F.xxhash64("b"), F.lit(RUNS)).cast("int"))
-    centres = dealt.select("a", "run").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "run", F.lit(None).cast("long").alias("b"), "set")
-    members = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "run", "b", "set")
+    dealt._rows = _rows(edges)
+    first = _kept(dealt.select("a", "run").distinct(), "centres", edges)
+    centres = sets.withColumnRenamed("node", "a").join(_light(first), "a").select("a", "run", F.lit(None).cast("long").alias("b"), "set")
+    members = sets.withColumnRenamed("node", "b").join(_light(dealt), "b").select("a", "run", "b", "set")
     runs = centres.unionByName(members).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
     def check(batches):
@@ -229,35 +261,42 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(runs.select("a", "b", "set").mapInArrow(check, "a long, b long"), "links")
 
 
+def _union(x: DataFrame, y: DataFrame) -> DataFrame:
+    out = x.unionByName(y)
+    out._rows = _rows(x) + _rows(y)
+    return out
+
+
 def connected(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, label) of every node with a link: the smallest node that links reach.
 
     Labels spread to neighbours and jump to the label of their label until nothing changes.  ``known`` has labels
     from a part of the links to start from.
     """
-    both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    both = _kept(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both", links)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     if known is not None:
-        labels = labels.join(known.withColumnRenamed("label", "_old"), "node", "left").select("node", F.least("label", "_old").alias("label"))
-    labels = staged(labels, "labels")
+        labels = labels.join(_light(known.withColumnRenamed("label", "_old")), "node", "left").select("node", F.least("label", "_old").alias("label"))
+    labels = _kept(labels, "labels", both)
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        new = staged(spread.join(jump.hint("merge"), "to").select("node", "old", F.least("to", "far").alias("label")), "labels")
+        light = _light(labels)
+        heard = both.join(light.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        heard = heard.unionByName(labels.select("node", "label", F.col("label").alias("old")))
+        spread = heard.groupBy("node").agg(F.min("label").alias("to"), F.max("old").alias("old"))
+        jumped = spread.join(light.select(F.col("node").alias("to"), F.col("label").alias("far")), "to")
+        new = _kept(jumped.select("node", "old", F.least("to", "far").alias("label")), "labels", both)
         discard(labels)
-        labels = new.select("node", "label")
-        labels._staged_at = new._staged_at
         if new.filter("old <> label").isEmpty():
             discard(both)
-            return labels
+            return new.select("node", "label")
+        labels, labels._staged_at = new.select("node", "label"), new._staged_at
 
 
 def _undecided(active: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets whose members are in more than one component, with ``label``."""
-    now = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = now.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y").select("key")
-    return now.join(open_.hint("merge"), "key").select("key", "node", "n", "low", "label")
+    """(key, node, n, low, label) of buckets whose members are in more than one component."""
+    now = active.join(_light(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = now.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y")
+    return staged(now.join(_light(_kept(open_.select("key"), "open", active)), "key").select("key", "node", "n", "low", "label"), "undecided")
 
 
 def _bounded(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,21 +305,21 @@ def _bounded(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ``c`` counts the shingles that some other undecided text has too: the intersection with any of these is at most
     c, and the union at least the text's own size.  ``bits`` is the parity bitmap of the set.
     """
-    nodes = staged(live.select("node", "n").distinct(), "nodes")
+    nodes = _kept(live.select("node", "n").distinct(), "nodes", live)
 
     def each(batch: pa.RecordBatch):
         for node, s in zip(batch.column(0).to_pylist(), batch.column(1)):
             h = np.frombuffer(s.as_buffer(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node, np.int64))], ["h", "node"])
 
-    shingles = map_arrow(sets.join(nodes.select("node"), "node", "left_semi"), each, "h long, node long")
+    shingles = map_arrow(sets.join(_light(nodes), "node", "left_semi"), each, "h long, node long")
     alone = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
-    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    sizes = nodes.join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"), "n")
+    alone = _kept(alone.groupBy("node").agg(F.count(F.lit(1)).alias("u")), "alone", nodes)
+    sizes = nodes.join(_light(alone), "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
     sizes = staged(sizes.filter(f"100 * c >= {percent} * n").select("node", "c"), "sizes")
-    bits = staged(map_arrow(sets.join(sizes, "node").select("node", "set", "c"), _bitmaps, "node long, c long, bits array<long>"), "bitmaps")
-    discard(nodes, sizes)
-    return live.join(bits.hint("merge"), "node")
+    bits = staged(map_arrow(sets.join(_light(sizes), "node").select("node", "set", "c"), _bitmaps, "node long, c long, bits array<long>"), "bitmaps")
+    discard(nodes, alone, sizes)
+    return live.join(_light(bits), "node")
 
 
 def _bitmaps(batch: pa.RecordBatch):
@@ -305,16 +344,19 @@ def _alike(live: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
-def _named(sig: DataFrame, classed: DataFrame, labels: DataFrame, best) -> DataFrame:
-    """What ``_judged`` returns, from the labels of class representatives."""
-    reps = classed.filter("node = rep").select("doc_id", "node")
-    names = reps.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.max(best).alias("_m"))
-    component = labels.join(names.hint("merge"), "label").select(F.col("node").alias("rep"), "component_id", (-F.col("_m.node")).alias("head"))
-    of = reps.select(F.col("doc_id").alias("_first"), F.col("node").alias("rep")).join(component, "rep", "left")
-    of = of.select("rep", F.coalesce("component_id", "_first").alias("component_id"), F.coalesce("head", "rep").alias("head"))
-    full = classed.join(of.hint("merge"), "rep").select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id", "head")
-    none = sig.filter("n = 0").select("node", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("head"))
-    return full.unionByName(none)
+def _named(classed: DataFrame, labels: DataFrame) -> DataFrame:
+    """What ``_judged`` returns, from the labels of classes with a link."""
+    best = F.struct(F.col("first").isNotNull().alias("has"), (-F.col("first")).alias("id"), (-F.col("node")).alias("node"))
+    light = _light(labels)
+    reps = classed.filter("node = rep").select("node", "first").join(light, "node")
+    names = _kept(reps.groupBy("label").agg(F.min("first").alias("component_id"), F.max(best).alias("_m")), "names", labels)
+    component = labels.join(_light(names), "label").select(F.col("node").alias("rep"), "component_id", (-F.col("_m.node")).alias("head"))
+    rows = classed.select("node", "doc_id", "n", "rep", "first").join(_light(staged(component, "components")), "rep", "left")
+    linked = F.col("head").isNotNull()
+    return rows.select(
+        "node", "doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("first")).alias("component_id"),
+        F.when(linked, F.col("head")).otherwise(F.col("rep")).alias("head"),
+    )
 
 
 ORACLE = r"""
