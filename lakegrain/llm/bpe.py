@@ -6,14 +6,14 @@ Two engines share one text walker:
 * :class:`PrefixPieces` runs the prefix dynamic programme of :class:`PrefixBpe`.
 
 Why pieces can be cached: the split pattern of these vocabularies never lets a
-piece hold white space after a character that is not white space.  So a text may
-be cut before each single blank that follows such a character, every such *unit*
+piece hold white space after a character that is not white space, nor a mark after
+a letter or digit.  So a text may be cut before each single blank that follows such a
+character and between an ASCII letter or digit and a mark; every such *unit*
 splits into pieces on its own, and equal units always give equal ids.  A text in
 which a blank has white space on both sides (or ends the text after white space)
 is the one case where that cut could differ; it takes the slow path as a whole.
 
-Caches are bounded (``max_entries``) and are emptied when full, so a worker's
-memory does not grow with the corpus.
+Caches are bounded (``max_entries``), so a worker's memory does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ import regex
 
 from .kernels import ragged_take, span_hashes
 
-#: Entries of the unit and of the piece cache of one worker, and the bytes of the longest entry.
-MAX_ENTRIES, MAX_CACHED = (300_000, 600_000), 128
-#: The same of a prefix engine, whose pieces cost more, and the entries of its tables of pairs and of prefixes.
-PREFIX_ENTRIES, PAIRS, PREFIXES = (150_000, 400_000), 300_000, 100_000
+#: Units that a worker's table holds (some 40 bytes each), the bytes of the longest, and entries of the cache of other pieces.
+MAX_ENTRIES, MAX_CACHED, MAX_PIECES = 1_000_000, 128, 30_000
+#: Entries of a prefix engine's tables of pairs and of prefixes.
+PAIRS, PREFIXES = 300_000, 100_000
 
-#: Marks that are a piece of their own between letters and the end of a unit.
-_MARKS = frozenset(".,;:!?)")
+#: Marks, and the letters and digits that they follow: a piece always ends between the two, so texts are cut there too.
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?)")] = True
+_PLAIN[[c for c in range(128) if chr(c).isalnum()]] = True
 
 #: A blank between white space, or one that follows white space and ends the text.
 _AMBIGUOUS = re.compile(r"(?:^|\s) (?:\s|$)")
@@ -68,43 +70,66 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class UnitTable:
+    """Ids of known units, found by the 128-bit hash of a unit: five flat arrays, some 40 bytes for a unit.
+
+    Holds ``most`` units at most; when more come, those that the last chunk did not use go.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.len = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the units stand in the table, and which of them do."""
+        if not len(self.one):
+            return np.zeros(len(one), np.int64), np.zeros(len(one), bool)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return at, (self.one[at] == one) & (self.two[at] == two)
+
+    def add(self, one: np.ndarray, two: np.ndarray, lens: np.ndarray, flat: np.ndarray, used: np.ndarray) -> None:
+        """Units that ``find`` lacked, in any order; ``used``: places of those that it had."""
+        if len(self.one) + len(one) > self.most:
+            used = np.unique(used)
+            self.flat = ragged_take(self.flat, self.start, self.len, used)
+            self.one, self.two, self.len = self.one[used], self.two[used], self.len[used]
+            self.start = np.cumsum(self.len) - self.len
+        start = len(self.flat) + np.cumsum(lens) - lens
+        order = np.argsort(one, kind="stable")
+        at = np.searchsorted(self.one, one[order])
+        self.one, self.two = np.insert(self.one, at, one[order]), np.insert(self.two, at, two[order])
+        self.start, self.len = np.insert(self.start, at, start[order]), np.insert(self.len, at, lens[order])
+        self.flat = np.concatenate([self.flat, flat])
+
+
 class PieceCache:
-    """Encodes chunks of texts unit by unit; equal units of a chunk are looked up once."""
+    """Encodes chunks of texts unit by unit; equal units of a chunk are looked up once, and those of earlier chunks in a table.
 
-    def __init__(self, encode_piece, pattern: str, specials: list[str] = (), encode_special=None, max_entries: tuple[int, int] = MAX_ENTRIES):
-        self.encode_piece, self.split, self.max_entries = encode_piece, regex.compile(pattern).findall, max_entries
+    ``encode_plain`` takes the bytes of a blank or ASCII letter and ASCII letters, ``encode_piece`` any piece.
+    """
+
+    def __init__(self, encode_plain, encode_piece, pattern: str, specials: list[str] = (), encode_special=None, max_entries: int = MAX_ENTRIES):
+        self.encode_plain, self.encode_piece, self.split = encode_plain, encode_piece, regex.compile(pattern).findall
         self.specials, self.encode_special = list(specials), encode_special
         self.special = regex.compile("|".join(map(regex.escape, self.specials))).search
+        self.least_special = min((len(s.encode()) for s in self.specials), default=1 << 62)
+        self.table = UnitTable(max_entries)
         self.pieces: dict[str, bytes] = {}
-        self.units: dict[bytes, bytes] = {}
 
     def unit(self, data: bytes) -> bytes:
-        """Ids of a unit that the cache lacks."""
         text = data.decode("utf-8", "replace")
-        if self.specials and self.special(text):  # the library finds these before it splits
+        if len(data) >= self.least_special and self.special(text):  # the library finds these before it splits
             return self.encode_special(text)
-        # a blank and letters are one piece; one mark after them is another
-        plain = text[0] == " " or text[0].isalpha()
-        if plain and text[1:].isalpha():
-            got = self.piece(text)
-        elif plain and text[1:-1].isalpha() and text[-1] in _MARKS:
-            got = self.piece(text[:-1]) + self.piece(text[-1])
-        else:
-            got = b"".join(map(self.piece, self.split(text)))
-        if len(data) <= MAX_CACHED:
-            if len(self.units) >= self.max_entries[0]:
-                self.units.clear()
-            self.units[data] = got
-        return got
+        return b"".join([self.pieces.get(x) or self.piece(x) for x in self.split(text)])
 
     def piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
-        if ids is None:
-            ids = self.encode_piece(p)
-            if len(p) <= MAX_CACHED:
-                if len(self.pieces) >= self.max_entries[1]:
-                    self.pieces.clear()
-                self.pieces[p] = ids
+        ids = self.encode_piece(p)
+        if len(p) <= MAX_CACHED:
+            if len(self.pieces) >= MAX_PIECES:
+                self.pieces.clear()
+            self.pieces[p] = ids
         return ids
 
     def encode_chunk(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +157,7 @@ class PieceCache:
                     at = data.find(s.encode(), at + 1)
         cut = np.zeros(len(buf) + 1, bool)
         cut[blanks] = True
+        cut[1:-1] |= _MARK[buf[1:]] & _PLAIN[buf[:-1]]
         for k in whole:
             cut[bounds[k] : bounds[k + 1]] = False
         cut[bounds] = True
@@ -145,15 +171,27 @@ class PieceCache:
             pairs = np.stack([one, two], 1)
             _, first, inverse = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
             inverse = inverse.reshape(-1)
-        get, unit = self.units.get, self.unit
-        values = []
-        for a, b in zip(starts[first].tolist(), stops[first].tolist()):
+        one, two, table = one[first], two[first], self.table
+        at, known = table.find(one, two)
+        new = np.flatnonzero(~known)
+        sizes = (stops - starts)[first[new]]
+        new = new[np.argsort(sizes > MAX_CACHED, kind="stable")]  # long units come last and are not kept
+        n_kept = int(np.count_nonzero(sizes <= MAX_CACHED))
+        plain, unit, values = self.encode_plain, self.unit, []
+        for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist()):
             key = data[a:b]
-            got = get(key)
-            values.append(unit(key) if got is None else got)
-        lens = np.fromiter(map(len, values), np.int64, len(values)) >> 2
-        ids = ragged_take(np.frombuffer(b"".join(values), "<u4"), np.cumsum(lens) - lens, lens, inverse)
+            values.append(plain(key) if key[1:].isalpha() and (key[0] == 32 or key[:1].isalpha()) else unit(key))
+        got = np.frombuffer(b"".join(values), "<u4")
+        got_lens = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        lens, begin = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+        lens[known], begin[known] = table.len[at[known]], table.start[at[known]]
+        lens[new], begin[new] = got_lens, len(table.flat) + np.cumsum(got_lens) - got_lens
+        ids = ragged_take(np.concatenate([table.flat, got]), begin, lens, inverse)
         total = np.concatenate([[0], np.cumsum(lens[inverse])])
+        keep = new[:n_kept]
+        fresh = np.unique(one[keep], return_index=True)[1]  # of units with one hash of 64 bits one is kept
+        if len(fresh) == n_kept and not np.isin(one[keep], table.one[at[~known]] if len(table.one) else table.one).any():
+            table.add(one[keep], two[keep], got_lens[:n_kept], got[: int(got_lens[:n_kept].sum())], at[known])
         return ids, total[np.searchsorted(starts, bounds)]
 
 
@@ -174,14 +212,18 @@ class Pieces:
 class LibraryPieces(Pieces):
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` of the tokenizers library does."""
 
-    def __init__(self, path: str, specials_as_text: bool = False, max_entries: tuple[int, int] = MAX_ENTRIES):
+    def __init__(self, path: str, specials_as_text: bool = False, max_entries: int = MAX_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_as_text
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         specials = [] if specials_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = PieceCache(self._piece, public_tokenizers.PATTERN, specials, self._whole, max_entries)
+        self.cache = PieceCache(self._plain, self._piece, public_tokenizers.PATTERN, specials, self._whole, max_entries)
+
+    def _plain(self, data: bytes) -> bytes:
+        text = _BLANK + data[1:].decode() if data[0] == 32 else data.decode()
+        return array("I", [t.id for t in self.tokenize(text)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """The library's model on one piece, whose bytes are written in the model's alphabet."""
@@ -189,7 +231,7 @@ class LibraryPieces(Pieces):
             known = piece.replace(" ", _BLANK)
         else:
             known = piece.encode().decode("latin-1").translate(_ALPHABET)
-        return array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(known)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -313,13 +355,16 @@ class PrefixBpe:
 class PrefixPieces(Pieces):
     """Encodes texts as the rank library does without special tokens, by :class:`PrefixBpe`; decodes ids."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, max_entries: tuple[int, int] = PREFIX_ENTRIES):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, max_entries: int = MAX_ENTRIES):
         self.bpe = PrefixBpe(load_ranks(path))
-        self.cache = PieceCache(self._piece, pattern, max_entries=max_entries)
+        self.cache = PieceCache(self._plain, self._piece, pattern, max_entries=max_entries)
         self.lens = np.array([len(t) for t in self.bpe.tokens], np.int64)
         self.flat = np.frombuffer(b"".join(self.bpe.tokens), np.uint8)
         self.starts = np.cumsum(self.lens) - self.lens
 
+    def _plain(self, data: bytes) -> bytes:
+        return array("I", self.bpe.encode(data)).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         return array("I", self.bpe.encode(piece.encode("utf-8", "replace"))).tobytes()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -165,9 +166,9 @@ def chunk_words(column: pa.Array, is_word: np.ndarray) -> Iterator[tuple]:
 
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches):
-        forget_engines()
-        for batch in batches:
-            yield from kernel(batch)
+        with working():
+            for batch in batches:
+                yield from kernel(batch)
 
     return df.mapInArrow(run, schema)
 
@@ -175,6 +176,44 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Reco
 _ENGINES: dict[tuple, object] = {}
 #: Kinds of engines that the task has asked for.
 _ASKED: set[type] = set()
+#: Tasks that run in this worker (two if one feeds the other), and how many have begun.
+_TASKS, _LOCK = [0, 0], threading.Lock()
+#: Seconds that an idle worker keeps its engines: the next task of a stage comes sooner.
+IDLE_S = 1.0
+
+
+@contextmanager
+def working() -> Iterator[None]:
+    """Around what a task does in a worker: engines that the worker's last task did not ask for go, and all go once it is idle."""
+    with _LOCK:
+        if not _TASKS[0]:
+            forget_engines()
+        _TASKS[0] += 1
+        _TASKS[1] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _TASKS[0] -= 1
+        if _ENGINES:
+            timer = threading.Timer(IDLE_S, _rest, [_TASKS[1]])
+            timer.daemon = True
+            timer.start()
+
+
+def _rest(begun: int) -> None:
+    """Gives an idle worker's memory back, for the stages of others that follow."""
+    import ctypes
+    import gc
+
+    with _LOCK:
+        if _TASKS != [0, begun]:
+            return
+        _ENGINES.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def forget_engines() -> None:

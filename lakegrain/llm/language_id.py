@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_engines, map_arrow
+from .common import map_arrow, working
 from .kernels import mix, utf8_chunks
 
 #: Bytes of an n-gram; documents of each language that the filters are fitted on (about); share of them that must
@@ -129,17 +129,20 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, most: int = MAX_LANGS) -> Fil
     sample = rows.filter(chosen)
 
     def count(batches):
-        forget_engines()
-        for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
-            for row, buf, bounds in utf8_chunks(batch.column(0)):
-                mine = langs[row : row + len(bounds) - 1]
-                g, owner = grams(buf, bounds)
-                names, code = np.unique(mine.astype(str), return_inverse=True)
-                pairs = np.unique(np.stack([g, owner.astype(np.uint64)], 1), axis=0) if len(g) else np.zeros((0, 2), np.uint64)
-                key = np.stack([pairs[:, 0], code[pairs[:, 1].astype(int)].astype(np.uint64)], 1)
-                key, n = np.unique(key, axis=0, return_counts=True) if len(key) else (key, np.zeros(0, int))
-                yield pa.RecordBatch.from_arrays([pa.array(names[key[:, 1].astype(int)].tolist(), pa.string()), pa.array(key[:, 0].astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "df"])
+        with working():
+            for batch in batches:
+                yield from counted(batch)
+
+    def counted(batch):
+        langs = np.array(batch.column(1).to_pylist(), object)
+        for row, buf, bounds in utf8_chunks(batch.column(0)):
+            mine = langs[row : row + len(bounds) - 1]
+            g, owner = grams(buf, bounds)
+            names, code = np.unique(mine.astype(str), return_inverse=True)
+            pairs = np.unique(np.stack([g, owner.astype(np.uint64)], 1), axis=0) if len(g) else np.zeros((0, 2), np.uint64)
+            key = np.stack([pairs[:, 0], code[pairs[:, 1].astype(int)].astype(np.uint64)], 1)
+            key, n = np.unique(key, axis=0, return_counts=True) if len(key) else (key, np.zeros(0, int))
+            yield pa.RecordBatch.from_arrays([pa.array(names[key[:, 1].astype(int)].tolist(), pa.string()), pa.array(key[:, 0].astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "df"])
 
     found = sample.mapInArrow(count, "lang string, gram long, df long").groupBy("lang", "gram").agg(F.sum("df").alias("df"))
     need = F.lit(2.0)
@@ -172,12 +175,12 @@ def keep_known(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index("text")
 
     def keep(batches):
-        forget_engines()
-        for batch in batches:
-            ok: list[bool] = []
-            for _, buf, bounds in utf8_chunks(batch.column(at)):
-                ok += [x != UNKNOWN and s >= least for x, s in zip(*shared.value.judge(buf, bounds))]
-            yield batch.filter(pa.array(ok, pa.bool_()))
+        with working():
+            for batch in batches:
+                ok: list[bool] = []
+                for _, buf, bounds in utf8_chunks(batch.column(at)):
+                    ok += [x != UNKNOWN and s >= least for x, s in zip(*shared.value.judge(buf, bounds))]
+                yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import LibraryPieces
-from .common import engine, shared_dir, staged
+from .common import engine, shared_dir, staged, working
 from .kernels import utf8_chunks
 
 TOKENIZER, END_OF_DOCUMENT, WIDTH = "byte_bpe_50k.json", 50256, 2
@@ -43,6 +43,10 @@ def write_flat(docs: DataFrame, folder: str | None = None, path: str | None = No
     folder = folder or f"{shared_dir(spark)}/lakegrain/flat-{uuid.uuid4().hex}"
 
     def run(batches):
+        with working():
+            yield from encode(batches)
+
+    def encode(batches):
         library, fs, base = None, *_fs(folder)
         task = TaskContext.get()
         name, part = f"{base}/{task.partitionId():06d}.bin", task.partitionId()

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import LibraryPieces
-from .common import engine, map_arrow, release, shared_dir, windows
+from .common import engine, map_arrow, release, shared_dir, small_batches, windows, working
 from .kernels import mix, utf8_chunks
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids that the rolling hash sees; a cut on average every MEAN ids, never before LEAST, always after MOST.
 ROLL, LEAST, MEAN, MOST = 8, 64, 512, 4096
 #: Digests that a task remembers so as not to send a chunk twice; the merge drops what gets through.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 ORDER = "doc_id long, row long, n_tokens long, root binary, part int"
 MANIFEST = "part int, n_docs long, n_ids long, root string"
 ROWS = "kind string, key binary, doc_id long, row long, n_ids long, payload binary, digests array<binary>"
@@ -83,8 +83,9 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in batches:
-            yield from encode(batch, seen)
+        with working():
+            for batch in batches:
+                yield from encode(batch, seen)
 
     def encode(batch: pa.RecordBatch, seen: set[bytes]):
         library = engine(LibraryPieces, path)
@@ -121,7 +122,8 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     # chunks meet by digest, each recipe stays alone; the first of equal chunks is written
     unit = F.when(F.col("kind") == "chunk", F.col("key")).otherwise(F.col("row").cast("string").cast("binary"))
     once = rows.groupBy("kind", unit.alias("_unit")).agg(*[F.first(c).alias(c) for c in ("key", "doc_id", "row", "n_ids", "payload", "digests")])
-    once.drop("_unit").write.partitionBy("kind").option("compression", "zstd").parquet(f"{at}/data")
+    with small_batches(spark):
+        once.drop("_unit").write.partitionBy("kind").option("compression", "zstd").parquet(f"{at}/data")
     store = Store(spark, at)
     release(spark)
     recipes = store.table("data").filter("kind = 'recipe'")
