@@ -130,7 +130,10 @@ def join(sources: list[tuple[str, DataFrame]], condition: Any, using: list[str]
                 equal.append((ls.number(got[0]), rs.number(got[1]) + F.lit(got[3])))
             elif got:
                 band = bands.setdefault((got[0], got[1]), {"c": []})
-                band[got[2][0]] = (got[3], got[2])
+                side, sign = got[2][0], 1 if got[2][0] == ">" else -1
+                new, old = (sign * got[3], len(got[2]) == 1), band.get(side)  # of bounds at one value the strict one is closer
+                if old is None or new > (sign * old[0], len(old[1]) == 1):
+                    band[side] = (got[3], got[2])
                 band["c"].append(c)
             else:
                 rest_parts.append(c)

@@ -53,9 +53,9 @@ def connect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(_id, component): the smallest node that edges (u, v) reach. Labels spread and jump; each round is checkpointed."""
     spark = nodes.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+        from ..sources.store import shared_folder
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mesh-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     label = nodes.select("_id", F.col("_id").alias("component")).checkpoint()
     while True:

@@ -213,6 +213,8 @@ def fold(node: Any) -> Any:
     if isinstance(node, P.Bin):
         a, b = fold(node.left), fold(node.right)
         if isinstance(a, P.Num) and isinstance(b, P.Num) and node.op in scalar.FOLD:
-            return P.Num(scalar.FOLD[node.op](float(a.value), float(b.value)))
+            got = scalar.folded(node.op, float(a.value), float(b.value))
+            if got is not None:
+                return P.Num(got)
         return P.Bin(node.op, a, b)
     return node

@@ -18,7 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents"
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     e = Engine(spark)
     for t in TABLES:
-        e.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        e.register_lazy(t, lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
     return e
 
 
@@ -63,6 +63,14 @@ _both("s_div0", "select l_orderkey, l_linenumber, l_quantity / l_discount as v,
 _both("s_mod_pow", "select l_orderkey, l_linenumber, l_quantity % 7 as v, l_quantity ** 2 as w, 2 ^ (l_linenumber - 4) as x from lineitem", "SELECT l_orderkey, l_linenumber, fmod(l_quantity, 7) AS v, pow(l_quantity, 2) AS w, pow(2.0, l_linenumber - 4) AS x FROM lineitem")
 _both("s_bits", "select l_orderkey, l_linenumber, (l_orderkey & 12) as v, (l_orderkey | 3) as w from lineitem", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey & 12 AS DOUBLE) AS v, CAST(l_orderkey | 3 AS DOUBLE) AS w FROM lineitem")
 
+_both(
+    "s_large",
+    "select l_orderkey, l_linenumber, floor(l_quantity * 1e20) as a, round(-l_quantity * 1e19) as b, trunc(l_quantity * 1e25) as c, modf(l_quantity * 1e20) as d, "
+    "((9223372036854775808 + l_orderkey * 4096) | 4096) as e from lineitem",
+    "SELECT l_orderkey, l_linenumber, floor(l_quantity * 1e20) AS a, floor(-l_quantity * 1e19) AS b, trunc(l_quantity * 1e25) AS c, CAST(0 AS DOUBLE) AS d, "
+    "CAST(CAST(CAST(9223372036854775808 AS DOUBLE) + l_orderkey * 4096 AS UBIGINT) | CAST(4096 AS UBIGINT) AS DOUBLE) AS e FROM lineitem",
+)
+
 
 def _rounded(*pairs: tuple[str, str]) -> tuple[str, str]:
     ours = ", ".join(f"round({a}, 6) as v{i}" for i, (a, _) in enumerate(pairs))
@@ -113,6 +121,12 @@ _both("j_using", "select a.n_name, b.n_regionkey, count(*) as n from nation a jo
 _both("j_self", "select a.s_suppkey as x, b.s_suppkey as y from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 _both("j_band_between", "select a.event_id as x, b.event_id as y from events a, events b where a.event_id - b.event_id between 1 and 3", "SELECT a.event_id AS x, b.event_id AS y FROM events a, events b WHERE a.event_id - b.event_id BETWEEN 1 AND 3")
 _both("j_band_strict", "select a.c_custkey as x, b.c_custkey as y from customer a join customer b on -10.5 < a.c_acctbal - b.c_acctbal and a.c_acctbal < b.c_acctbal + 10.5", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_acctbal - b.c_acctbal > -10.5 AND a.c_acctbal < b.c_acctbal + 10.5")
+_both(
+    "j_band_bounds",
+    "select a.c_custkey as x, b.c_custkey as y from customer a join customer b on a.c_acctbal - b.c_acctbal > 5 and a.c_acctbal - b.c_acctbal > 1 "
+    "and a.c_acctbal - b.c_acctbal <= 10.5 and a.c_acctbal - b.c_acctbal < 10.5 and a.c_acctbal - b.c_acctbal < 40",
+    "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_acctbal - b.c_acctbal > 5 AND a.c_acctbal - b.c_acctbal < 10.5",
+)
 _both("j_band_columns", "select a.p_partkey as x, b.s_suppkey as y from part a join supplier b on a.p_retailprice between b.s_acctbal - 20 and b.s_acctbal + 30", "SELECT p_partkey AS x, s_suppkey AS y FROM part JOIN supplier ON p_retailprice BETWEEN s_acctbal - 20 AND s_acctbal + 30")
 _both("j_agg", "select c.c_mktsegment, sum(o.o_totalprice) / count(*) as v, count(*) as n from orders o join customer c on o.o_custkey = c.c_custkey", "SELECT c_mktsegment, avg(o_totalprice) AS v, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 _both("j_three", "select r.r_name, count(*) as n from customer c join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -195,6 +209,25 @@ def m_delete_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deactivated(engine(spark, sf_dir).relation("nation"), "n_regionkey > 2")
 
 
+def m_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append, commit, rollback, soft delete, reactivation and purge of a table on disk."""
+    import uuid
+
+    from .sources.store import Store, shared_folder
+
+    n = engine(spark, sf_dir).relation("customer")
+    s = Store(spark, f"{shared_folder(spark)}/lakegrain/store-{uuid.uuid4().hex}")
+    s.write(n.filter("c_custkey % 3 = 0"), "p")
+    s.append(n.filter("c_custkey % 3 <> 0"), "p")
+    s.commit("p")
+    s.append(n, "p")
+    s.rollback("p")
+    s.deactivate("p", "c_acctbal < 1000")
+    s.reactivate("p", "c_acctbal < 0")
+    s.purge("p")
+    return s.read("p").select("c_custkey", "c_acctbal")
+
+
 def m_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Table(engine(spark, sf_dir).relation("nation")).add_column("n_nationkey * 2 + 1", "v").df
 
@@ -304,6 +337,7 @@ FUNCTION_SQL = {
     "x_keyword_counts_text": f"SELECT term, count(*) AS n_docs FROM {_TERMS} GROUP BY 1",
     "m_append": "SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey = 1",
     "m_delete_where": "SELECT * FROM nation WHERE NOT n_regionkey > 2",
+    "m_store": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0 OR c_acctbal >= 1000",
     "m_add_column": "SELECT *, CAST(n_nationkey * 2 + 1 AS DOUBLE) AS v FROM nation",
     "m_partition_like": "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey < 3 GROUP BY 1",
     "g_coords": f"SELECT cell, cell // 70 % 100 AS c0, cell // 7 % 10 AS c1, cell % 7 AS c2 FROM {_CELLS}",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,17 @@ class Engine:
     def __init__(self, spark: SparkSession, local_zone: str = "UTC"):
         self.spark, self.local_zone = spark, local_zone
         self.tables: dict[str, DataFrame] = {}
+        self.lazy: dict[str, Callable[[], DataFrame]] = {}
+
+    def register_lazy(self, name: str, opener: Callable[[], DataFrame]) -> None:
+        """A table that is opened when a statement first names it."""
+        self.tables.pop(name.lower(), None)
+        self.lazy[name.lower()] = opener
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            self.tables[name] = self.lazy[name]()
+        return self.tables[name]
 
     def register(self, name: str, df: DataFrame) -> Table:
         self.tables[name.lower()] = df
@@ -27,9 +39,10 @@ class Engine:
 
     def drop(self, name: str) -> None:
         self.tables.pop(name.lower(), None)
+        self.lazy.pop(name.lower(), None)
 
     def names(self) -> list[str]:
-        return sorted(self.tables)
+        return sorted({*self.tables, *self.lazy})
 
     def open(self, path: str, name: str) -> Table:
         return self.register(name, open_folder(self.spark, path))
@@ -49,10 +62,10 @@ class Engine:
 
     def relation(self, pattern: str) -> DataFrame:
         """A table, or all tables that a name with % or _ matches, one after the other."""
-        if pattern.lower() in self.tables:
-            return self.tables[pattern.lower()]
+        if pattern.lower() in self.names():
+            return self.table(pattern.lower())
         rx = re.compile(like_regex(pattern.lower()))
-        found = [self.tables[n] for n in self.names() if rx.match(n)]
+        found = [self.table(n) for n in self.names() if rx.match(n)]
         if not found:
             raise P.ParseError(f"no table {pattern!r}; there are {', '.join(self.names())}")
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)

@@ -6,17 +6,28 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.parse import parse_condition
-from ..plans.select import restrict
+from ..plans.parse import parse_condition, references
 
 ACTIVE = "_active"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where it is unset, one of our own in local mode and an error elsewhere."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="lakegrain-")
+    return found.rstrip("/")
+
+
 class Store:
-    """A folder of partitions. ``_state.json`` names the live version of each, so a commit is one small write."""
+    """A folder of partitions. The newest ``_state-N.json`` names the live files of each, so a commit is one small write."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -26,23 +37,35 @@ class Store:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
+    def _versions(self) -> list[tuple[int, str]]:
+        """Numbers and names of the complete states, oldest first."""
+        if not self.fs.exists(self._path()):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._path())]
+        found = [(int(x[7:-5]), x) for x in names if x.startswith("_state-") and x.endswith(".json")]
+        return sorted(found) or [(0, "_state.json")] * ("_state.json" in names)
+
     def state(self) -> dict:
-        at = self._path("_state.json")
-        if not self.fs.exists(at):
+        found = self._versions()
+        if not found:
             return {}
-        inp = self.fs.open(at)
+        inp = self.fs.open(self._path(found[-1][1]))
         try:
             return json.loads(bytes(inp.readAllBytes()).decode())
         finally:
             inp.close()
 
     def _save(self, state: dict) -> None:
-        new = self._path(f"_state.{uuid.uuid4().hex}")
+        """A state is written aside and renamed to the next number: a crash leaves the state before, never none."""
+        found = self._versions()
+        new, at = self._path(f"_new.{uuid.uuid4().hex}"), self._path(f"_state-{(found[-1][0] if found else 0) + 1:012d}.json")
         out = self.fs.create(new)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self.fs.delete(self._path("_state.json"), False)
-        self.fs.rename(new, self._path("_state.json"))
+        if not self.fs.rename(new, at):
+            raise RuntimeError(f"another writer changed {self.root}")
+        for _, name in found[:-2]:
+            self.fs.delete(self._path(name), False)
 
     def partitions(self) -> list[str]:
         return sorted(self.state())
@@ -65,6 +88,15 @@ class Store:
         st.setdefault(partition, {"files": [], "tags": {}, "index": None, "staged": []})["staged"].append(self._add(df, partition))
         self._save(st)
 
+    def append_once(self, df: DataFrame, partition: str, batch: int) -> None:
+        """Appends and commits in one write of the state; a batch whose number is not above the last one's is known."""
+        st = self.state()
+        p = st.setdefault(partition, {"files": [], "tags": {}, "index": None, "staged": []})
+        if batch > p["tags"].get("_batch", -1):
+            p["files"].append(self._add(df, partition))
+            p["tags"]["_batch"] = batch
+            self._save(st)
+
     def commit(self, partition: str) -> None:
         st = self.state()
         st[partition]["files"] += st[partition].pop("staged")
@@ -121,13 +153,7 @@ class Store:
     def _flag(self, partition: str, condition: str, active: bool) -> None:
         def change(df):
             old = F.coalesce(F.col(ACTIVE), F.lit(True)) if ACTIVE in df.columns else F.lit(True)
-            from ..plans.lower import Scope
-            from ..plans.parse import references
-            from ..plans.select import mask
-
-            node, scope = parse_condition(condition), Scope(df)
-            m = mask(scope, references(node))
-            hit = F.coalesce(scope.condition(node) if m is None else m & scope.condition(node), F.lit(False))
+            hit = _holds(df, condition)
             return df.withColumn(ACTIVE, F.when(hit, F.lit(active)).otherwise(old))
 
         self._rewrite(partition, change)
@@ -158,12 +184,21 @@ class Store:
         self._save(st)
 
 
+def _holds(df: DataFrame, condition: str) -> Column:
+    """Whether the condition is true; false where it, or a column that it names, is null."""
+    from ..plans.lower import Scope
+    from ..plans.select import mask
+
+    node, scope = parse_condition(condition), Scope(df)
+    m = mask(scope, references(node))
+    return F.coalesce(scope.condition(node) if m is None else m & scope.condition(node), F.lit(False))
+
+
 def open_folder(spark: SparkSession, path: str) -> DataFrame:
     """Every Parquet file below a folder, as one relation."""
     return spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(path)
 
 
 def deactivated(df: DataFrame, condition: str) -> DataFrame:
-    """The relation without the rows for which the condition holds."""
-    hit = restrict(df.withColumn("_rowid", F.monotonically_increasing_id()), parse_condition(f"NOT ({condition})"))
-    return hit.drop("_rowid")
+    """The relation without the rows for which the condition holds; where it is neither true nor false, rows stay."""
+    return df.filter(~_holds(df, condition))

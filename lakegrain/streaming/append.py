@@ -12,12 +12,7 @@ def append_stream(stream: DataFrame, store: Store, partition: str, checkpoint: s
     """Appends what arrives. The checkpoint holds the batches that were committed."""
 
     def one(batch: DataFrame, number: int) -> None:
-        done = store.state().get(partition, {}).get("tags", {}).get("_batch", -1)
-        if number <= done:  # a batch that was committed before a failure comes again
-            return
-        store.append(batch, partition)
-        store.commit(partition)
-        store.tag(partition, _batch=number)
+        store.append_once(batch, partition, number)  # a batch that was committed before a failure may come again
 
     w = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
