@@ -21,7 +21,8 @@ from .kernels import mix, utf8_chunks
 #: Bytes of an n-gram; documents of each language that the filters are fitted on (about); share of them that must
 #: have an n-gram; share of the highest rate of any language that its rate must reach; slots and probes of the filters.
 GRAM, FIT_DOCS, MIN_SHARE, MIN_RATIO, SLOTS, PROBES = 4, 2000, 0.004, 0.2, 1 << 20, 2
-MAX_LANGS = 64
+#: Labels that are learned; beyond, ``fit`` refuses. Each 64 take a plane of SLOTS words in the broadcast filters.
+MAX_LANGS = 1024
 UNKNOWN = "und"
 _LUT = np.full(256, 32, np.uint8)
 _LUT[97:123] = np.arange(97, 123)
@@ -49,7 +50,8 @@ def grams(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     packed = np.zeros(m, np.uint64)
     for i in range(GRAM):
         packed = packed << np.uint64(8) | clean[i : i + m]
-    owner = np.searchsorted(where, np.arange(m), "right") - 1
+    # the blank where two texts meet may be the last of one and the first of the next: the character after it tells
+    owner = np.searchsorted(where, np.arange(m) + (clean[:m] == 32), "right") - 1
     # a blank between two texts is the end of one and the start of the other: neither may reach beyond it
     inner = (packed >> np.uint64(8) & np.uint64(0xFFFF)).view(np.uint64)
     mid = (inner >> np.uint64(8) == 32) | (inner & np.uint64(0xFF) == 32)
@@ -66,7 +68,7 @@ def grams(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Filters:
     langs: list[str]  # the most frequent first
-    slots: np.ndarray
+    planes: list[np.ndarray]  # the slots' bits, 64 languages in each plane
     false_rate: np.ndarray  # of each language
 
     @staticmethod
@@ -76,30 +78,38 @@ class Filters:
 
     @classmethod
     def build(cls, langs: list[str], of: dict[str, np.ndarray], size: int = SLOTS) -> Filters:
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(langs))
-        slots = np.zeros(size, kind)
-        for i, x in enumerate(langs):
-            for at in cls.probes(of.get(x, np.zeros(0, np.uint64)), size):
-                slots[at] |= kind(1 << i)
-        fill = np.array([np.count_nonzero(slots & kind(1 << i)) / size for i in range(len(langs))])
-        return cls(langs, slots, fill**PROBES)
-
-    def masks(self, g: np.ndarray) -> np.ndarray:
-        a, *rest = self.probes(g, len(self.slots))
-        out = self.slots[a]
+        planes, fill = [], []
+        for first in range(0, len(langs), 64):
+            some = langs[first : first + 64]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(some))
+            slots = np.zeros(size, kind)
+            for i, x in enumerate(some):
+                for at in cls.probes(of.get(x, np.zeros(0, np.uint64)), size):
+                    slots[at] |= kind(1 << i)
+            fill += [np.count_nonzero(slots & kind(1 << i)) / size for i in range(len(some))]
+            planes.append(slots)
+        return cls(langs, planes, np.array(fill) ** PROBES)
+
+    def masks(self, g: np.ndarray, plane: int = 0) -> np.ndarray:
+        """Of each n-gram, a bit for every language of the plane that contains it."""
+        slots = self.planes[plane]
+        a, *rest = self.probes(g, len(slots))
+        out = slots[a]
         for at in rest:
-            out &= self.slots[at]
+            out &= slots[at]
         return out
 
-    def judge(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[list[str], list[float]]:
+    def judge(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[list[str], list[float], np.ndarray]:
+        """Language, score, and number of n-grams of each text."""
         n = len(bounds) - 1
         g, owner = grams(buf, bounds)
         total = np.bincount(owner, minlength=n)
-        masks = self.masks(g)
         share = np.zeros((len(self.langs), n))
-        for i in range(len(self.langs)):
-            hits = np.bincount(owner[(masks >> masks.dtype.type(i) & masks.dtype.type(1)).astype(bool)], minlength=n)
-            share[i] = hits / np.maximum(total, 1)
+        for plane in range(len(self.planes)):
+            masks = self.masks(g, plane)
+            for i in range(64 * plane, min(64 * plane + 64, len(self.langs))):
+                hits = np.bincount(owner[(masks >> masks.dtype.type(i % 64) & masks.dtype.type(1)).astype(bool)], minlength=n)
+                share[i] = hits / np.maximum(total, 1)
         share = np.clip((share - self.false_rate[:, None]) / np.maximum(1 - self.false_rate[:, None], 1e-9), 0, 1)
         best = share.argmax(0) if len(self.langs) else np.zeros(n, int)
         data, langs, scores = buf.tobytes(), [], []
@@ -109,24 +119,28 @@ class Filters:
             known = ascii_[k + 1] > ascii_[k] or seen[k + 1] > seen[k] and any(map(str.isalpha, data[bounds[k] : bounds[k + 1]].decode("utf-8", "replace")))
             langs.append(self.langs[best[k]] if known and self.langs else UNKNOWN)
             scores.append(float(share[best[k], k]) if known and self.langs else 0.0)
-        return langs, scores
+        return langs, scores, total
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, most: int = MAX_LANGS) -> Filters:
-    """Filters from rows with text and lang. About ``fit_docs`` documents of each language, chosen by a hash of text, are read whole.
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
+    """Filters from rows with text and lang. About ``fit_docs`` texts of each language, chosen by a hash of text, are read whole.
 
-    Rows without text or lang teach nothing.  The ``most`` most frequent languages are learned (ties: by name).
+    Rows without text or lang teach nothing, and copies of a text teach once.  More labels than MAX_LANGS are an error.
     What reaches the driver is bounded: n-grams that MIN_SHARE of at most ``fit_docs`` documents have.
     """
+    spark = docs.sparkSession
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"), F.count(F.lit(1)).alias("_rows"))
+    found = sizes.orderBy(F.desc("_rows"), "lang").limit(MAX_LANGS + 1).collect()
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values")
+    counts = {r["lang"]: max(r["n"], 1) for r in found}
     if not counts:
-        return Filters([], np.zeros(1, np.uint8), np.zeros(0))
+        return Filters([], [], np.zeros(0))
     span = 1 << 30
-    chosen = F.lit(False)
-    for x, n in counts.items():
-        chosen |= (F.col("lang") == x) & (F.pmod(F.xxhash64("text"), F.lit(span)) < int(span * min(1.0, fit_docs / n)))
-    sample = rows.filter(chosen)
+    part = spark.createDataFrame([(x, int(span * min(1.0, fit_docs / n)), max(1.0, MIN_SHARE * min(n, fit_docs))) for x, n in counts.items()], "lang string, _part long, _need double")
+    part = F.broadcast(part)
+    sample = rows.join(part.select("lang", "_part"), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(span)) < F.col("_part")).select("text", "lang").distinct()
 
     def count(batches):
         with working():
@@ -145,10 +159,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, most: int = MAX_LANGS) -> Fil
             yield pa.RecordBatch.from_arrays([pa.array(names[key[:, 1].astype(int)].tolist(), pa.string()), pa.array(key[:, 0].astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "df"])
 
     found = sample.mapInArrow(count, "lang string, gram long, df long").groupBy("lang", "gram").agg(F.sum("df").alias("df"))
-    need = F.lit(2.0)
-    for x, n in counts.items():
-        need = F.when(F.col("lang") == x, max(1.0 if n < 50 else 2.0, MIN_SHARE * min(n, fit_docs))).otherwise(need)
-    got = found.filter(F.col("df") >= need).toPandas()
+    got = found.join(part.select("lang", "_need"), "lang").filter(F.col("df") >= F.col("_need")).select("lang", "gram", "df").toPandas()
     got["rate"] = got["df"] / got["lang"].map({x: min(n, fit_docs) for x, n in counts.items()})
     got = got[got["rate"] >= MIN_RATIO * got.groupby("gram")["rate"].transform("max")]
     return Filters.build(list(counts), {x: g["gram"].to_numpy().astype(np.uint64) for x, g in got.groupby("lang")})
@@ -164,14 +175,17 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch):
         for row, buf, bounds in utf8_chunks(batch.column(1)):
-            langs, scores = shared.value.judge(buf, bounds)
+            langs, scores, _ = shared.value.judge(buf, bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(langs)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
-    """The rows whose text has a known language with a score of ``least`` or more; all columns, no shuffle."""
+    """The rows whose text has a known language with a score of ``least`` or more; all columns, no shuffle.
+
+    A text with letters that is too short for an n-gram says nothing against itself and stays.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index("text")
 
     def keep(batches):
@@ -179,7 +193,7 @@ def keep_known(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
             for batch in batches:
                 ok: list[bool] = []
                 for _, buf, bounds in utf8_chunks(batch.column(at)):
-                    ok += [x != UNKNOWN and s >= least for x, s in zip(*shared.value.judge(buf, bounds))]
+                    ok += [x != UNKNOWN and (s >= least or not n) for x, s, n in zip(*shared.value.judge(buf, bounds))]
                 yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
