@@ -66,26 +66,75 @@ def _bound(c: P.Cmp, owner) -> tuple[Any, Any, str, float] | None:
     return None
 
 
-def band_join(left: DataFrame, right: DataFrame, lcol, rcol, low: float, high: float, low_op: str = ">=", high_op: str = "<=") -> DataFrame:
-    """Rows with low <= l - r <= high. Values are cut to cells as wide as the band, so it is an equi join of one cell with two.
+def _constant(c: P.Cmp) -> float:
+    """The largest constant that a band adds or compares with: its size bounds what rounding may move."""
 
-    A hot cell is split by Spark's skew join; rows with null keys have no partner.
+    def walk(node: Any) -> float:
+        if isinstance(node, P.Bin) and node.op in "+-":
+            return max(walk(node.left), walk(node.right))
+        return abs(float(node.value)) if isinstance(node, P.Num) else 0.0
+
+    return max(walk(fold(c.left)), walk(fold(c.right)))
+
+
+def _nan_fits(conditions: list[P.Cmp], owner, side: str) -> bool:
+    """Whether a NaN on one side fits every row of the other: NaN is the greatest number, also as a sum or difference."""
+
+    def fits(c: P.Cmp) -> bool:
+        a, b = (any(owner(P.Col(n)) == side for n in P.references(x)) for x in (c.left, c.right))
+        return c.op in ((">=", "<=", "=") if a and b else (">", ">=") if a else ("<", "<="))
+
+    return all(map(fits, conditions))
+
+
+#: Cells to a band's width.
+CELLS = 4
+#: Values up to so many cells from 0 have numbered cells; with constants up to FAR / 64 cells, rounding moves them by less than MARGIN of a cell.
+FAR, MARGIN = 2.0**40, 1 / 16
+
+
+def band_join(
+    left: DataFrame, right: DataFrame, lcol, rcol, low: float, high: float, low_op: str = ">=", high_op: str = "<=", condition=None, scale: float = 0.0, nan_left: bool = False, nan_right: bool = False
+) -> DataFrame:
+    """Rows with low <= l - r <= high, or those of them for which ``condition`` holds as it is written, up to its rounding.
+
+    Cells only find candidates: CELLS of them make the band's width, l is in one of them and r in all that its band meets.
+    A hot cell is split by Spark's skew join; rows with null keys have no partner. ``scale`` is the largest constant in
+    ``condition``; ``nan_left`` and ``nan_right`` tell that a NaN of that side fits all rows of the other.
     """
-    width = high - low
-    exact = {">=": lambda d: d >= low, ">": lambda d: d > low}[low_op]
-    upper = {"<=": lambda d: d <= high, "<": lambda d: d < high}[high_op]
-    if width < 0:
-        return left.withColumn("_l", lcol).crossJoin(right).filter(F.lit(False)).drop("_l")
-    if width == 0:
-        out = left.withColumn("_l", lcol - F.lit(low)).join(right.withColumn("_r", rcol), F.col("_l") == F.col("_r"))
-        return (out if (low_op, high_op) == (">=", "<=") else out.filter(F.lit(False))).drop("_l", "_r")
-    a = left.withColumn("_l", lcol).filter(F.col("_l").isNotNull()).withColumn("_cell", F.floor((F.col("_l") - low) / width))
+    width, scale = high - low, max(scale, abs(low), abs(high))
+    if condition is None:
+        diff = F.col("_l") - F.col("_r")
+        condition = (diff >= low if low_op == ">=" else diff > low) & (diff <= high if high_op == "<=" else diff < high)
+    if width < -scale * 2.0**-40:
+        return left.crossJoin(right).filter(F.lit(False))
+    a = left.withColumn("_l", lcol).filter(F.col("_l").isNotNull())
     b = right.withColumn("_r", rcol).filter(F.col("_r").isNotNull())
-    first = F.floor(F.col("_r") / width)
-    # one cell more on each side: a cell number may be off by one where the division rounds
-    b = b.withColumn("_cell2", F.explode(F.array(first - 1, first, first + 1, first + 2)))
-    diff = F.col("_l") - F.col("_r")
-    return a.join(b, (F.col("_cell") == F.col("_cell2")) & exact(diff) & upper(diff)).drop("_l", "_r", "_cell", "_cell2")
+    step = max(width / CELLS, scale * 64 / FAR, 1e-300)
+    if not step < 1e280:
+        return a.join(b, condition).drop("_l", "_r")
+    if scale == 0:
+        out = a.join(b, (F.col("_l") == F.col("_r")) & condition)
+    else:
+        out = _cell_join(a, b, low, high, step, condition)
+    isnan = lambda c: F.isnan(F.col(c).cast("double"))
+    if nan_right:
+        out = out.union(a.filter(~isnan("_l")).join(F.broadcast(b.filter(isnan("_r"))), condition))
+    if nan_left:
+        out = out.union(F.broadcast(a.filter(isnan("_l"))).join(b.filter(~isnan("_r")), condition))
+    return out.drop("_l", "_r")
+
+
+def _cell_join(a: DataFrame, b: DataFrame, low: float, high: float, step: float, condition) -> DataFrame:
+    far = lambda x: F.xxhash64(x.cast("float"))  # noqa: E731  # cells of values far from 0: a float's precision
+    l, x0, x1, limit = F.col("_l"), F.col("_r") + F.lit(low), F.col("_r") + F.lit(high), F.lit(step * FAR)
+    a = a.withColumn("_cell", F.when(F.abs(l) <= limit, F.floor(l / F.lit(step))).otherwise(far(l)))
+    none = F.array().cast("array<bigint>")
+    numbered = F.when(F.abs(x0) <= limit * 2, F.sequence(F.floor(x0 / F.lit(step) - MARGIN), F.floor(x1 / F.lit(step) + MARGIN))).otherwise(none)
+    others = F.when(F.abs(x0) <= limit / 2, none).otherwise(F.array(far(x0 * (1 - 2.0**-30)), far(x0 * (1 + 2.0**-30))))
+    b = b.withColumn("_cell", F.explode(F.array_distinct(F.concat(numbered, others))))
+    b = b.withColumnRenamed("_cell", "_cell2")
+    return a.join(b, (F.col("_cell") == F.col("_cell2")) & condition).drop("_cell", "_cell2")
 
 
 def join(sources: list[tuple[str, DataFrame]], condition: Any, using: list[str] = (), refs: set[str] = frozenset(), local_zone: str = "UTC") -> tuple[DataFrame, Scope]:
@@ -126,14 +175,13 @@ def join(sources: list[tuple[str, DataFrame]], condition: Any, using: list[str]
             if isinstance(c, P.Cmp) and c.op == "=" and {owner(c.left), owner(c.right)} == {"l", "r"}:
                 a, b = (c.left, c.right) if owner(c.left) == "l" else (c.right, c.left)
                 equal.append((ls.value(a), rs.value(b)))
-            elif got and got[2] == "=":
-                equal.append((ls.number(got[0]), rs.number(got[1]) + F.lit(got[3])))
             elif got:
                 band = bands.setdefault((got[0], got[1]), {"c": []})
-                side, sign = got[2][0], 1 if got[2][0] == ">" else -1
-                new, old = (sign * got[3], len(got[2]) == 1), band.get(side)  # of bounds at one value the strict one is closer
-                if old is None or new > (sign * old[0], len(old[1]) == 1):
-                    band[side] = (got[3], got[2])
+                for op in (">=", "<=") if got[2] == "=" else (got[2],):
+                    side, sign = op[0], 1 if op[0] == ">" else -1
+                    new, old = (sign * got[3], len(op) == 1), band.get(side)  # of bounds at one value the strict one is closer
+                    if old is None or new > (sign * old[0], len(old[1]) == 1):
+                        band[side] = (got[3], op)
                 band["c"].append(c)
             else:
                 rest_parts.append(c)
@@ -144,7 +192,11 @@ def join(sources: list[tuple[str, DataFrame]], condition: Any, using: list[str]
             left = left.join(right, reduce(lambda x, y: x & y, extra, on))
         elif closed:
             v = bands.pop(closed)
-            left = band_join(left, right, ls.number(closed[0]), rs.number(closed[1]), v[">"][0], v["<"][0], v[">"][1], v["<"][1])
+            exact = {}
+            if not any(both.is_text(x) for c in v["c"] for x in (c.left, c.right)):  # numbers kept as text compare by their difference
+                exact = {"condition": reduce(lambda x, y: x & y, map(both.condition, v["c"])), "scale": max(map(_constant, v["c"]))}
+                exact |= {"nan_left": _nan_fits(v["c"], owner, "l"), "nan_right": _nan_fits(v["c"], owner, "r")}
+            left = band_join(left, right, ls.number(closed[0]), rs.number(closed[1]), v[">"][0], v["<"][0], v[">"][1], v["<"][1], **exact)
             later += rest_parts + [c for w in bands.values() for c in w["c"]]
         elif join_parts:
             left = left.join(right, reduce(lambda x, y: x & y, [both.condition(c) for c in join_parts]))
