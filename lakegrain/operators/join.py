@@ -87,8 +87,8 @@ def _nan_fits(conditions: list[P.Cmp], owner, side: str) -> bool:
     return all(map(fits, conditions))
 
 
-#: Cells to a band's width.
-CELLS = 4
+#: Cells to a band's width, and rows of a cell from each side that meet in one piece of the join.
+CELLS, PIECE = 4, 4096
 #: Values up to so many cells from 0 have numbered cells; with constants up to FAR / 64 cells, rounding moves them by less than MARGIN of a cell.
 FAR, MARGIN = 2.0**40, 1 / 16
 
@@ -99,8 +99,9 @@ def band_join(
     """Rows with low <= l - r <= high, or those of them for which ``condition`` holds as it is written, up to its rounding.
 
     Cells only find candidates: CELLS of them make the band's width, l is in one of them and r in all that its band meets.
-    A hot cell is split by Spark's skew join; rows with null keys have no partner. ``scale`` is the largest constant in
-    ``condition``; ``nan_left`` and ``nan_right`` tell that a NaN of that side fits all rows of the other.
+    A cell of more than PIECE rows of a side is cut into a grid of pieces, so no task grows with a frequent value; all is
+    streamed from sorted runs, and rows with null keys have no partner. ``scale`` is the largest constant in ``condition``;
+    ``nan_left`` and ``nan_right`` tell that a NaN of that side fits all rows of the other.
     """
     width, scale = high - low, max(scale, abs(low), abs(high))
     if condition is None:
@@ -133,8 +134,24 @@ def _cell_join(a: DataFrame, b: DataFrame, low: float, high: float, step: float,
     numbered = F.when(F.abs(x0) <= limit * 2, F.sequence(F.floor(x0 / F.lit(step) - MARGIN), F.floor(x1 / F.lit(step) + MARGIN))).otherwise(none)
     others = F.when(F.abs(x0) <= limit / 2, none).otherwise(F.array(far(x0 * (1 - 2.0**-30)), far(x0 * (1 + 2.0**-30))))
     b = b.withColumn("_cell", F.explode(F.array_distinct(F.concat(numbered, others))))
-    b = b.withColumnRenamed("_cell", "_cell2")
-    return a.join(b, (F.col("_cell") == F.col("_cell2")) & condition).drop("_cell", "_cell2")
+    n = a.select("_cell", F.lit(1).alias("_n"), F.lit(0).alias("_m")).unionByName(b.select("_cell", F.lit(0).alias("_n"), F.lit(1).alias("_m")))
+    n = n.groupBy("_cell").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")).filter(f"(_n > {PIECE} or _m > {PIECE}) and _n > 0 and _m > 0")
+    # so few that they can be sent to all: one for PIECE rows at most
+    grid = F.broadcast(n.select("_cell", F.ceil(F.col("_n") / PIECE).alias("_n"), F.ceil(F.col("_m") / PIECE).alias("_m")))
+    spark = a.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def pieces(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.join(grid, "_cell", "left").fillna(1, ["_n", "_m"])
+        mine, all_others = F.floor(F.rand(7) * F.col(own)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))
+        df = df.withColumn("_own", mine).withColumn("_other", all_others)
+        piece = F.col("_own") * F.col("_m") + F.col("_other") if own == "_n" else F.col("_other") * F.col("_m") + F.col("_own")
+        # a number of partitions given is kept, however few bytes they have
+        return df.withColumn("_piece", piece).drop("_n", "_m", "_own", "_other").repartition(parts, "_cell", "_piece")
+
+    a, b = pieces(a, "_n", "_m"), pieces(b, "_m", "_n").withColumnRenamed("_cell", "_cell2").withColumnRenamed("_piece", "_piece2")
+    on = (F.col("_cell") == F.col("_cell2")) & (F.col("_piece") == F.col("_piece2")) & condition
+    return a.join(b.hint("merge"), on).drop("_cell", "_piece", "_cell2", "_piece2")
 
 
 def join(sources: list[tuple[str, DataFrame]], condition: Any, using: list[str] = (), refs: set[str] = frozenset(), local_zone: str = "UTC") -> tuple[DataFrame, Scope]:
