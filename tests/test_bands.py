@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lakegrain.operators import join as J
 from lakegrain.session import Engine
 
 NAN, INF = float("nan"), float("inf")
@@ -38,3 +39,17 @@ def test_bands_round_as_written(spark, condition):
     e = engine(spark, xs, ys)
     got, want = pairs(e, condition)
     assert got == want and want
+
+
+def test_few_cells_are_joined_in_many_tasks(spark, monkeypatch):
+    """Frequent values, and a band wider than one side: pieces of both sides meet once, in tasks that share the work."""
+    monkeypatch.setattr(J, "PIECE", 16)
+    rng = random.Random(6)
+    xs = [round(rng.uniform(0, 3), 1) for _ in range(400)] + [7.0] * 200
+    ys = [7.5] * 150 + [rng.uniform(-40, 40) for _ in range(300)]
+    e = engine(spark, xs, ys)
+    got, want = pairs(e, "l.x between r.y - 20D and r.y + 30D")
+    assert got == want and len(want) > 50000
+    out = e.sql("select l.i as i, r.j as j from l join r on l.x between r.y - 20 and r.y + 30")
+    of = [n for _, n in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(of) >= 8 and max(of) < 0.3 * len(want)
