@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +25,12 @@ def with_coordinates(df: DataFrame, cell: str, shape: list[int]) -> DataFrame:
 
 def lines(hits: DataFrame, cell: str, shape: list[int]) -> DataFrame:
     """Maximal runs along the last dimension: c0.., first, last. Islands within each line; a line is at most the last dimension long."""
-    k = len(shape) - 1
-    at = with_coordinates(hits.select(F.col(cell).alias("_cell")).distinct(), "_cell", shape)
-    head = [f"c{i}" for i in range(k)]
-    w = Window.partitionBy(F.floor(F.col("_cell") / shape[-1])).orderBy("_cell")
-    island = at.withColumn("_i", F.col(f"c{k}") - F.row_number().over(w))
-    return island.groupBy(*head, "_i").agg(F.min(f"c{k}").alias("first"), F.max(f"c{k}").alias("last")).drop("_i")
+    k, n = len(shape) - 1, shape[-1]
+    # a line stays where it was dealt to, from its cells to its islands
+    at = hits.select(F.col(cell).alias("_cell")).distinct().select(F.floor(F.col("_cell") / n).alias("_line"), (F.floor("_cell") % n).cast("long").alias("_at"))
+    island = at.withColumn("_i", F.col("_at") - F.row_number().over(Window.partitionBy("_line").orderBy("_at")))
+    run = island.groupBy("_line", "_i").agg(F.min("_at").alias("first"), F.max("_at").alias("last"))
+    return run.select(*coordinates(F.col("_line"), shape[:-1]), "first", "last")
 
 
 def components(hits: DataFrame, cell: str, shape: list[int]) -> DataFrame:
@@ -36,33 +39,102 @@ def components(hits: DataFrame, cell: str, shape: list[int]) -> DataFrame:
     step = strides(shape)
     row = lines(hits, cell, shape)
     ident = reduce(lambda a, b: a + b, [F.col(f"c{i}") * step[i] for i in range(k)], F.lit(0).cast("long")) + F.col("first")
-    row = row.withColumn("_id", ident.cast("long")).cache()
+    row = checkpointed(row.withColumn("_id", ident.cast("long")))
     edges = None
     for i in range(k):
         other = row.select(*[(F.col(f"c{j}") + (1 if j == i else 0)).alias(f"d{j}") for j in range(k)], F.col("first").alias("f2"), F.col("last").alias("l2"), F.col("_id").alias("v"))
         on = reduce(lambda a, b: a & b, [F.col(f"c{j}") == F.col(f"d{j}") for j in range(k)]) & (F.col("first") <= F.col("l2")) & (F.col("f2") <= F.col("last"))
         e = row.join(other, on).select(F.col("_id").alias("u"), "v")
         edges = e if edges is None else edges.unionByName(e)
-    label = row.select("_id", F.col("_id").alias("component"))
-    if edges is not None:
-        label = connect(row.select("_id"), edges)
-    return row.join(label, "_id").drop("_id")
+    return labelled(row, edges).drop("_id")
 
 
-def connect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(_id, component): the smallest node that edges (u, v) reach. Labels spread and jump; each round is checkpointed."""
-    spark = nodes.sparkSession
+def checkpointed(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         from ..sources.store import shared_folder
 
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    label = nodes.select("_id", F.col("_id").alias("component")).checkpoint()
+    return df.checkpoint()
+
+
+def labelled(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Rows with component: the smallest _id that edges (u, v) reach."""
+    if edges is None:
+        return rows.withColumn("component", F.col("_id"))
+    return rows.join(connect(edges), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+
+
+#: Edges that a task solves at once.
+EDGES = 1_000_000
+
+
+def _solve(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of some edges and the smallest node that they reach: roots hook to their lowest neighbour, then paths are cut short."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, up = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while len(u):
+        np.minimum.at(up, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(far := up[up], up):
+            up = far
+        u, v = up[u], up[v]
+        open_ = u != v
+        u, v = u[open_], v[open_]
+    return ids, ids[up]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def solved() -> Iterator[pa.RecordBatch]:
+        u, v = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1))
+        ids, roots = _solve(u, v)
+        for i in range(0, len(ids), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 50_000]), pa.array(roots[i : i + 50_000])], ["_id", "root"])
+
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= EDGES:
+            yield from solved()
+            held, n = [], 0
+    if n:
+        yield from solved()
+
+
+def connect(edges: DataFrame) -> DataFrame:
+    """(_id, component) of the nodes of edges (u, v): the smallest node that they reach.
+
+    Edges near each other are solved together, EDGES at a time, and each lot leaves its nodes with a root. What is left are
+    edges between roots of the nodes that several lots have; where ids of neighbours are close those are few. They are solved
+    in one lot, else by the same step, or in rounds over all once the step no longer halves them.
+    """
+    spark = edges.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    near = edges.select("u", "v").repartitionByRange(parts, "u").sortWithinPartitions("u")
+    stars = checkpointed(near.mapInArrow(_stars, "_id long, root long"))
+    low = stars.withColumn("low", F.min("root").over(Window.partitionBy("_id")))
+    over = checkpointed(low.filter("root <> low").select(F.col("root").alias("u"), F.col("low").alias("v")).distinct())
+    label, n = stars.groupBy("_id").agg(F.min("root").alias("root")), over.count()
+    if not n:
+        return label.withColumnRenamed("root", "component")
+    if n <= EDGES // 2:
+        top = over.coalesce(1).mapInArrow(_stars, "_id long, root long").select("_id", F.col("root").alias("component"))
+    else:
+        top = connect(over) if 2 * n <= stars.count() else _spread(over)
+    top = top.withColumnRenamed("_id", "root")
+    return label.join(top, "root", "left").select("_id", F.coalesce("component", "root").alias("component"))
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """As ``connect``, for edges without any order: labels spread and jump; each round is checkpointed."""
+    both = checkpointed(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = checkpointed(both.select(F.col("u").alias("_id"), F.col("u").alias("component")).distinct())
     while True:
         near = both.join(label.withColumnRenamed("_id", "v"), "v").groupBy(F.col("u").alias("_id")).agg(F.min("component").alias("near"))
         new = label.join(near, "_id", "left").select("_id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = new.select(F.col("_id").alias("component"), F.col("component").alias("far"))
-        new = new.join(jump, "component").select("_id", "old", F.least("component", "far").alias("component")).checkpoint()
+        new = checkpointed(new.join(jump, "component").select("_id", "old", F.least("component", "far").alias("component")))
         label = new.select("_id", "component")
         if new.filter("old <> component").isEmpty():
             return label
@@ -73,28 +145,54 @@ def blocks(hits: DataFrame, cell: str, shape: list[int], merge: bool = True) ->
     k = len(shape) - 1
     box = lines(hits, cell, shape).select(*[c for i in range(k) for c in (F.col(f"c{i}").alias(f"lo{i}"), F.col(f"c{i}").alias(f"hi{i}"))], F.col("first").alias(f"lo{k}"), F.col("last").alias(f"hi{k}"))
     for d in range(k - 1, -1, -1) if merge else ():
-        same = [f"{p}{i}" for i in range(k + 1) if i != d for p in ("lo", "hi")]
-        w = Window.partitionBy(*same).orderBy(f"lo{d}")
-        start = F.coalesce((F.col(f"lo{d}") != F.lag(f"hi{d}").over(w) + 1).cast("int"), F.lit(1))
-        grouped = box.withColumn("_s", start).withColumn("_g", F.sum("_s").over(w))
-        box = grouped.groupBy(*same, "_g").agg(F.min(f"lo{d}").alias(f"lo{d}"), F.max(f"hi{d}").alias(f"hi{d}")).drop("_g")
+        box = _merged(box, d, k + 1)
     return box.select(*[f"{p}{i}" for i in range(k + 1) for p in ("lo", "hi")])
 
 
+#: Coordinates that one task merges along a dimension at once.
+SPAN = 4096
+
+
+def _merged(box: DataFrame, d: int, dims: int) -> DataFrame:
+    """Boxes of one coordinate in dimension d as runs: first within spans of SPAN, then those that meet the end of a span with each other."""
+    same = [f"{p}{i}" for i in range(dims) if i != d for p in ("lo", "hi")]
+    lo, hi = F.col(f"lo{d}"), F.col(f"hi{d}")
+    for span in (F.floor(lo / SPAN), F.when((lo % SPAN == 0) | ((hi + 1) % SPAN == 0), F.lit(-1)).otherwise(F.floor(lo / SPAN))):
+        box = box.withColumn("_t", span.cast("long"))
+        w = Window.partitionBy(*same, "_t").orderBy(f"lo{d}")
+        start = F.coalesce((lo != F.lag(f"hi{d}").over(w) + 1).cast("int"), F.lit(1))
+        grouped = box.withColumn("_s", start).withColumn("_g", F.sum("_s").over(w))
+        box = grouped.groupBy(*same, "_t", "_g").agg(F.min(f"lo{d}").alias(f"lo{d}"), F.max(f"hi{d}").alias(f"hi{d}")).drop("_t", "_g")
+    return box
+
+
 def block_components(box: DataFrame, dims: int) -> DataFrame:
-    """Boxes and their component. Neighbours meet by the cells of their common faces, so this is an equi join."""
-    box = box.withColumn("_id", F.xxhash64(*box.columns)).cache()
+    """Boxes and their component, named by the smallest hash of a box. Neighbours meet in the coarse cells of their common faces, so this is an equi join."""
+    box = checkpointed(box.withColumn("_hash", F.xxhash64(*box.columns)))
+    ends = box.agg(*[f(f"{p}{i}") for i in range(dims) for p, f in (("lo", F.min), ("hi", F.max))]).first()
+    low, size = [ends[2 * i] or 0 for i in range(dims)], [(ends[2 * i + 1] or 0) - (ends[2 * i] or 0) + 1 for i in range(dims)]
+    ident = F.col("_hash")
+    if reduce(lambda a, b: a * b, size, 1) < 2**63:  # the number of a box's first cell: neighbours have close ones
+        ident = reduce(lambda a, b: a + b, [(F.col(f"lo{i}") - low[i]) * F.lit(n).cast("long") for i, n in enumerate(strides(size))])
+    face = box.select(ident.alias("_id"), *[f"{p}{i}" for i in range(dims) for p in ("lo", "hi")])
     edges = None
     for d in range(dims):
         rest = [i for i in range(dims) if i != d]
-        face = box.select("_id", *[f"{p}{i}" for i in range(dims) for p in ("lo", "hi")])
+        wide = max(1, 8 // max(1, len(rest)))
+        cut = face
+        for i in rest:
+            cut = cut.withColumn(f"_f{i}", F.explode(F.sequence(F.floor(F.col(f"lo{i}") / wide), F.floor(F.col(f"hi{i}") / wide))))
+        at = [f"_f{i}" for i in rest]
+        up = cut.select(F.col("_id").alias("u"), (F.col(f"hi{d}") + 1).alias("_at"), *at, *[F.col(f"{p}{i}").alias(f"u{p}{i}") for i in rest for p in ("lo", "hi")])
+        down = cut.select(F.col("_id").alias("v"), F.col(f"lo{d}").alias("_at"), *at, *[f"{p}{i}" for i in rest for p in ("lo", "hi")])
+        e = up.join(down, ["_at", *at])
         for i in rest:
-            face = face.withColumn(f"_f{i}", F.explode(F.sequence(f"lo{i}", f"hi{i}")))
-        up = face.select(F.col("_id").alias("u"), (F.col(f"hi{d}") + 1).alias("_at"), *[f"_f{i}" for i in rest])
-        low = face.select(F.col("_id").alias("v"), F.col(f"lo{d}").alias("_at"), *[f"_f{i}" for i in rest])
-        e = up.join(low, ["_at", *[f"_f{i}" for i in rest]]).select("u", "v").distinct()
+            e = e.filter((F.col(f"ulo{i}") <= F.col(f"hi{i}")) & (F.col(f"lo{i}") <= F.col(f"uhi{i}")))
+        e = e.select("u", "v")
         edges = e if edges is None else edges.unionByName(e)
-    return box.join(connect(box.select("_id"), edges), "_id").drop("_id")
+    out = labelled(box.withColumn("_id", ident), edges).withColumnRenamed("component", "_root")
+    names = out.groupBy("_root").agg(F.min("_hash").alias("component"))
+    return out.join(names, "_root").drop("_root", "_id", "_hash")
 
 
 def hyperslab(df: DataFrame, cell: str, shape: list[int], slab: list[tuple[int, int, int]]) -> DataFrame:
