@@ -46,3 +46,42 @@ def test_a_long_chain_takes_few_jobs(spark):
         jobs = len(sc.statusTracker().getJobIdsForGroup("chain"))
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert [tuple(r) for r in out] == [(0,)] and jobs < 40
+
+
+def test_runs_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(mesh, "SPAN", 4)
+    rng = random.Random(1)
+    rows = [i for i in range(200) if rng.random() < 0.8]
+    hits = spark.createDataFrame([(i * 10 + c,) for i in rows for c in (2, 3)], "cell long")
+    want, runs = set(rows), []
+    for i in rows:
+        if i - 1 not in want:
+            j = i
+            while j + 1 in want:
+                j += 1
+            runs.append((i, j, 2, 3))
+    box = mesh.blocks(hits, "cell", [200, 10])
+    assert sorted(map(tuple, box.collect())) == runs
+    assert len({r.component for r in mesh.block_components(box, 2).collect()}) == len(runs)
+
+
+def test_block_components_of_three_dimensions(spark):
+    rng = random.Random(3)
+    shape = [12, 9, 10]
+    hits = {(a, b, c) for a in range(12) for b in range(9) for c in range(10) if rng.random() < 0.33}
+    edges = [(p, p) for p in hits]
+    for p in hits:
+        for d in range(3):
+            q = tuple(x + (i == d) for i, x in enumerate(p))
+            edges += [(p, q)] if q in hits else []
+    label = smallest(edges)
+    cells = spark.createDataFrame([((a * 9 + b) * 10 + c,) for a, b, c in hits], "cell long")
+    of = {}
+    for r in mesh.block_components(mesh.blocks(cells, "cell", shape), 3).collect():
+        for a in range(r.lo0, r.hi0 + 1):
+            for b in range(r.lo1, r.hi1 + 1):
+                for c in range(r.lo2, r.hi2 + 1):
+                    of[a, b, c] = r.component
+    assert set(of) == hits
+    pairs = {(label[p], of[p]) for p in hits}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 5
