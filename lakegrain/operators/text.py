@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Characters between keywords; a quoted stretch is one keyword.
 DELIMITERS = ";, \x0b\x08\x0c\r\t\n'\""
 _QUOTED = r"""'[^']*'|"[^"]*"|[^;, \x0B\x08\f\r\t\n'"]+"""
+_UNQUOTED = r"[;, \x0B\x08\f\r\t\n]+"
 
 
 def tokens(text: Column, delimiters: str | None = None) -> Column:
@@ -15,13 +16,33 @@ def tokens(text: Column, delimiters: str | None = None) -> Column:
     if delimiters is not None:
         cls = "[" + "".join("\\" + c if not c.isalnum() and c.isprintable() else c for c in delimiters) + "]+"
         return F.filter(F.split(text, cls), lambda x: x != "")
+    # most texts have no quote: one split, no step for each keyword
+    plain = F.array_remove(F.split(text, _UNQUOTED), "")
     found = F.regexp_extract_all(text, F.lit("(" + _QUOTED + ")"), 1)
-    return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"""^['"]|['"]$""", ""))), lambda x: x != "")
+    quoted = F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"""^['"]|['"]$""", ""))), lambda x: x != "")
+    return F.when(text.contains("'") | text.contains('"'), quoted).otherwise(plain)
+
+
+#: Documents whose ids fall in a bucket with an id of several rows are looked at together; so many numbers are sent to all at most.
+BUCKETS = 1 << 20
+
+
+def _term_rows(df: DataFrame, text: str, doc: str, delimiters: str | None) -> tuple[DataFrame, DataFrame]:
+    """(term, doc), each once: of documents of one row, which need no exchange, and of the others."""
+    bucket = F.pmod(F.xxhash64(doc), F.lit(BUCKETS))
+    several = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(bucket.alias("_bucket")).distinct()
+
+    def rows(how: str) -> DataFrame:
+        some = df.join(F.broadcast(several), bucket == F.col("_bucket"), how)
+        return some.select(F.explode(F.array_distinct(tokens(F.col(text), delimiters))).alias("term"), F.col(doc).alias("doc"))
+
+    return rows("left_anti"), rows("left_semi").distinct()
 
 
 def term_document(df: DataFrame, text: str, doc: str, delimiters: str | None = None) -> DataFrame:
     """(term, doc), each pair once."""
-    return df.select(F.explode(F.array_distinct(tokens(F.col(text), delimiters))).alias("term"), F.col(doc).alias("doc")).distinct()
+    one, several = _term_rows(df, text, doc, delimiters)
+    return one.unionByName(several)
 
 
 def keyword_counts(df: DataFrame, text: str, doc: str, delimiters: str | None = None) -> DataFrame:
