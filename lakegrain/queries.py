@@ -266,7 +266,7 @@ def g_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_block_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.block_components(mesh.blocks(*_order_cells(spark, sf_dir)), 2)
+    return mesh.connected_blocks(*_order_cells(spark, sf_dir))
 
 
 def g_hyperslab(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Components of graphs and meshes: edges are solved in lots, whatever their order."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from lakegrain.operators import mesh
 
 
@@ -85,3 +87,36 @@ def test_block_components_of_three_dimensions(spark):
     assert set(of) == hits
     pairs = {(label[p], of[p]) for p in hits}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 5
+
+
+@pytest.mark.parametrize("slab", [240, 64, 32])
+def test_blocks_in_slabs_are_those_of_the_whole_mesh(spark, monkeypatch, slab):
+    """Boxes, components and their names do not depend on slabs; one box and one component run through all of them."""
+    rng = random.Random(slab)
+    shape = [100, 3, 4] if slab > 64 else [300, 8]
+    last = shape[-1]
+    cells = [c for c in range(math.prod(shape)) if rng.random() < 0.4 or c % last == 2 and c // last % 3 == 1 or c % last == 0 and len(shape) == 2]
+    hits = spark.createDataFrame([(c,) for c in cells + cells[:50] + [None]], "cell long").repartition(3)
+    monkeypatch.setattr(mesh, "SLAB", 0)
+    assert not mesh._slab_width(shape)
+    boxes = mesh.blocks(hits, "cell", shape)
+    want, named = sorted(map(str, boxes.collect())), sorted(map(tuple, mesh.block_components(boxes, len(shape)).collect()))
+    monkeypatch.setattr(mesh, "SLAB", slab)
+    monkeypatch.setattr(mesh, "PLANES", 1)
+    assert 3 < shape[0] / mesh._slab_width(shape)
+    assert sorted(map(str, mesh.blocks(hits, "cell", shape).collect())) == want
+    got = mesh.connected_blocks(hits, "cell", shape)
+    assert sorted(map(tuple, got.collect())) == named and len({r[-1] for r in named}) > 3
+    assert got.columns == mesh.block_components(boxes, len(shape)).columns
+
+
+def test_block_components_take_few_stages(spark):
+    """All boxes went through an exchange for each merge, face, label and name; now cells go through one by slab."""
+    sc = spark.sparkContext
+    sc.setJobGroup("slabs", "slabs")
+    try:
+        rows = __spark_entry__.queries()["g_block_components"](spark, "/root/testdata/sf0.001").count()
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup("slabs") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert rows and len(stages) < 45
