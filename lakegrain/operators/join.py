@@ -89,6 +89,8 @@ def _nan_fits(conditions: list[P.Cmp], owner, side: str) -> bool:
 
 #: Cells to a band's width, and rows of a cell from each side that meet in one piece of the join.
 CELLS, PIECE = 4, 4096
+#: Candidate pairs that a task compares, about, and tasks of a join at most: beyond those, tasks grow.
+TASK_PAIRS, MOST_TASKS = 2.0**25, 10_000
 #: Values up to so many cells from 0 have numbered cells; with constants up to FAR / 64 cells, rounding moves them by less than MARGIN of a cell.
 FAR, MARGIN = 2.0**40, 1 / 16
 
@@ -100,7 +102,8 @@ def band_join(
 
     Cells only find candidates: CELLS of them make the band's width, l is in one of them and r in all that its band meets.
     A cell of more than PIECE rows of a side is cut into a grid of pieces, so no task grows with a frequent value; all is
-    streamed from sorted runs, and rows with null keys have no partner. ``scale`` is the largest constant in ``condition``;
+    streamed from sorted runs, and rows with null keys have no partner. The candidates are counted first, and tasks are as many
+    as they need. ``scale`` is the largest constant in ``condition``;
     ``nan_left`` and ``nan_right`` tell that a NaN of that side fits all rows of the other.
     """
     width, scale = high - low, max(scale, abs(low), abs(high))
@@ -135,11 +138,14 @@ def _cell_join(a: DataFrame, b: DataFrame, low: float, high: float, step: float,
     others = F.when(F.abs(x0) <= limit / 2, none).otherwise(F.array(far(x0 * (1 - 2.0**-30)), far(x0 * (1 + 2.0**-30))))
     b = b.withColumn("_cell", F.explode(F.array_distinct(F.concat(numbered, others))))
     n = a.select("_cell", F.lit(1).alias("_n"), F.lit(0).alias("_m")).unionByName(b.select("_cell", F.lit(0).alias("_n"), F.lit(1).alias("_m")))
-    n = n.groupBy("_cell").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")).filter(f"(_n > {PIECE} or _m > {PIECE}) and _n > 0 and _m > 0")
-    # so few that they can be sent to all: one for PIECE rows at most
-    grid = F.broadcast(n.select("_cell", F.ceil(F.col("_n") / PIECE).alias("_n"), F.ceil(F.col("_m") / PIECE).alias("_m")))
-    spark = a.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    n = n.groupBy("_cell").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")).filter("_n > 0 and _m > 0")
+    # frequent cells, each in a row, and the others in one without a number; so few that they can be sent to all: one for PIECE rows at most
+    n = n.groupBy(F.when(F.greatest("_n", "_m") > PIECE, F.col("_cell")).alias("_cell")).agg(F.max("_n").alias("_n"), F.max("_m").alias("_m"), F.sum(F.col("_n").cast("double") * F.col("_m")).alias("_pairs"))
+    spark, n = a.sparkSession, n.toArrow()
+    pairs = sum(n["_pairs"].to_pylist())
+    grid = spark.createDataFrame(n.drop_columns("_pairs")).filter("_cell is not null")
+    grid = F.broadcast(grid.select("_cell", F.ceil(F.col("_n") / PIECE).alias("_n"), F.ceil(F.col("_m") / PIECE).alias("_m")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, min(MOST_TASKS, int(pairs / TASK_PAIRS)))
 
     def pieces(df: DataFrame, own: str, other: str) -> DataFrame:
         df = df.join(grid, "_cell", "left").fillna(1, ["_n", "_m"])

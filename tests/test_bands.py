@@ -53,3 +53,16 @@ def test_few_cells_are_joined_in_many_tasks(spark, monkeypatch):
     out = e.sql("select l.i as i, r.j as j from l join r on l.x between r.y - 20 and r.y + 30")
     of = [n for _, n in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(of) >= 8 and max(of) < 0.3 * len(want)
+
+
+def test_tasks_grow_with_the_candidates(spark, monkeypatch):
+    """A number of tasks that was fixed made the longest task grow with the pairs, the square of the tables."""
+    monkeypatch.setattr(J, "PIECE", 16)
+    monkeypatch.setattr(J, "TASK_PAIRS", 1000)
+    tasks = []
+    for n in (300, 600):
+        e = engine(spark, [i % 10 / 2 for i in range(n)], [i % 7 / 1 for i in range(n)])
+        got, want = pairs(e, "l.x between r.y - 2D and r.y + 3D")
+        assert got == want and want
+        tasks.append(e.sql("select l.i as i, r.j as j from l join r on l.x between r.y - 2 and r.y + 3").rdd.getNumPartitions())
+    assert tasks[1] > 3 * tasks[0] > 3 * 16
